@@ -35,6 +35,28 @@ def _powers(base: int) -> tuple[np.ndarray, np.ndarray]:
 _POLYNOMIALS = [(mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(step)), *_powers(base)) for step, base in ((0x9E3779B97F4A7C15, 0xD1342543DE82EF95), (0xC2B2AE3D27D4EB4F, 0xAF251AF3B0F025B5))]
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes; the spans are in order and do not overlap."""
+    out, at = np.empty(len(start), np.uint64), 0
+    while at < len(out):
+        begin = int(start[at])
+        to = int(np.searchsorted(end, begin + _SPAN, "right"))
+        if to == at:
+            out[at] = xxhash.xxh3_64_intdigest(data[begin : end[at]].tobytes())
+            at += 1
+            continue
+        part = data[begin : int(end[to - 1])]
+        i, j = start[at:to] - begin, end[at:to] - begin
+        value = (j - i).astype(np.uint64)
+        for byte, up, down in _POLYNOMIALS:
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(byte[part] * up[: len(part)], out=sums[1:])
+            value = mix(value + (sums[j] - sums[i]) * down[i])
+        out[at:to] = value
+        at = to
+    return out
+
+
 class Words:
     """The words of a column of texts.
 
@@ -65,27 +87,7 @@ class Words:
             self.start, self.end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
         self.bounds = np.searchsorted(self.start, self.offsets)
         self.counts = np.diff(self.bounds)
-        self.hashes = self._hash()
-
-    def _hash(self) -> np.ndarray:
-        out, at = np.empty(len(self.start), np.uint64), 0
-        while at < len(out):
-            begin = int(self.start[at])
-            to = int(np.searchsorted(self.end, begin + _SPAN, "right"))
-            if to == at:
-                out[at] = xxhash.xxh3_64_intdigest(self.data[begin : self.end[at]].tobytes())
-                at += 1
-                continue
-            part = self.data[begin : int(self.end[to - 1])]
-            i, j = self.start[at:to] - begin, self.end[at:to] - begin
-            value = (j - i).astype(np.uint64)
-            for byte, up, down in _POLYNOMIALS:
-                sums = np.zeros(len(part) + 1, np.uint64)
-                np.cumsum(byte[part] * up[: len(part)], out=sums[1:])
-                value = mix(value + (sums[j] - sums[i]) * down[i])
-            out[at:to] = value
-            at = to
-        return out
+        self.hashes = span_hashes(self.data, self.start, self.end)
 
     def owner(self) -> np.ndarray:
         """The text of each word."""

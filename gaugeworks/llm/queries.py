@@ -17,6 +17,16 @@ def _query(f):
     return f
 
 
+@_query
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from gaugeworks.llm.bpe import round_trip_digests
+
+    out = round_trip_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.withColumnRenamed("id", "doc_id")
+
+
 @_query
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gaugeworks.llm.substring import remove_repeats
@@ -25,6 +35,14 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@_query
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugeworks.llm.quality import fit, score
+
+    documents = _table(spark, sf_dir, "documents")
+    return score(documents, fit(documents, _table(spark, sf_dir, "labels"))).withColumnRenamed("id", "doc_id")
+
+
 @_query
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gaugeworks.llm.bagminhash import near_duplicates
