@@ -35,6 +35,38 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@_query
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugeworks.llm.mixing import plan
+
+    return plan(_table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+ORACLES["op6_source_mixing"] = r"""
+with d as (
+  select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size,
+         cast('0x' || substr(md5('0:' || coalesce(cast(doc_id as varchar), '')), 1, 13) as bigint) as at
+  from documents),
+s as (select source, cast(sum(size) as bigint) as source_size from d group by source),
+r as (select *, row_number() over (order by source is null, encode(source)) - 1 as rank from s),
+w as (select *, [5, 2, 1][cast(rank % 3 as int) + 1] as weight from r),
+f as (
+  select *, 2 * source_size as most, row_number() over (order by 2.0 * source_size / weight, rank) as place,
+         1.5 * sum(source_size) over () - coalesce(sum(2 * source_size) over (order by 2.0 * source_size / weight, rank rows between unbounded preceding and 1 preceding), 0) as rest_words,
+         sum(weight) over (order by 2.0 * source_size / weight, rank rows between current row and unbounded following) as rest_weight
+  from w),
+l as (select min(place) as first, arg_min(rest_words / rest_weight, place) as level from f where most > rest_words * weight / rest_weight),
+t as (select source, source_size, cast(case when place >= first then level * weight else most end as double) as target from f, l),
+o as (
+  select d.doc_id, d.size, t.source_size, t.target, cast(round_even(t.target, 0) as bigint) as goal,
+         coalesce(sum(d.size) over (partition by d.source order by d.at, d.doc_id, d.size rows between unbounded preceding and 1 preceding), 0) as before
+  from d join t on d.source is not distinct from t.source)
+select doc_id, size, source_size, target,
+       cast(case when source_size = 0 then 0 else (goal // source_size) * size + greatest(0, least(size, goal % source_size - before)) end as bigint) as taken
+from o
+"""
+
+
 @_query
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gaugeworks.llm.quality import fit, score
@@ -48,3 +80,10 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gaugeworks.llm.bagminhash import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", "kept")
+
+
+@_query
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugeworks.llm.secret_scan import scan
+
+    return scan(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
