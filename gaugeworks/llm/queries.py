@@ -87,3 +87,54 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gaugeworks.llm.secret_scan import scan
 
     return scan(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@_query
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugeworks.llm.linetext import extract
+
+    return extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@_query
+def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugeworks.llm.vectors import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+ORACLES["op8_vector_dedup"] = """
+with recursive v as (select vec_id, cast(embedding as double[]) as e from embeddings),
+l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.9),
+r as (select vec_id as a, vec_id as b from v union select r.a, l.b from r join l on r.b = l.a),
+c as (select a as vec_id, min(b) as component_id from r group by a),
+n as (select a as vec_id, count(*) as n_links from l group by a)
+select v.vec_id, coalesce(n.n_links, 0) as n_links, c.component_id, v.vec_id = c.component_id as kept
+from v join c using (vec_id) left join n using (vec_id)
+"""
+
+
+@_query
+def op3_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugeworks.llm.warc import read_archives, write_archives
+
+    return read_archives(write_archives(_table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op3_warc_archives"] = """
+with p as (select page_id, cast(strlen(coalesce(html, '')) as bigint) as payload_bytes, lower(sha1(coalesce(html, ''))) as payload_digest from pages),
+m as (select payload_digest, max(page_id) as last from p group by payload_digest)
+select page_id, payload_bytes, payload_digest,
+       case when payload_bytes >= 1000 and page_id < last then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 1000 and page_id < last then last end as refers_to
+from p join m using (payload_digest)
+"""
+
+
+@_query
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugeworks.llm.media import media_features, resolve, sequences, store_media
+
+    stored = store_media(_table(spark, sf_dir, "documents"))
+    out = resolve(sequences(stored, "id", "page"), media_features(stored))
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.col("digest").alias("media_sha256"), "feature")
