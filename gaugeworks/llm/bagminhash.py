@@ -267,7 +267,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = own.where("id is not null and text is not null").join(reps.select("id", "digest"), "id", "left_semi").join(met.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     edges = tasks.join(texts, "id").groupBy("centre", "i", "j").applyInArrow(_linker(threshold, width), "a long, b long")
     classes = components(edges)
-    by_digest = copies.join(classes, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("root", "rep").alias("class_id"))
+    # a table of its own, so that the join below is between two plain exchanges and a hot digest is split
+    by_digest = settle(copies.join(classes, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("root", "rep").alias("class_id")), "classes")
     alone = signed.where("n_shingles = 0 or id is null").select("id", F.col("id").alias("class_id"))
     out = full.select("id", "digest").join(by_digest, "digest").select("id", "class_id").unionByName(alone)
     return out.withColumn("kept", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)))
