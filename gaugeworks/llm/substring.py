@@ -68,7 +68,7 @@ class _Batch:
 def _send(key: int, bucket: np.ndarray, **arrays: np.ndarray) -> dict[str, list]:
     """Rows (bucket, key, one packed value per array); ``bucket`` is sorted."""
     cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))[: len(bucket)])
-    ends = np.append(cuts[1:], len(bucket))
+    ends = np.append(cuts[1:], len(bucket))[: len(cuts)]
     out = {"bucket": bucket[cuts].astype(np.int32), "batch": np.full(len(cuts), key, np.int32)}
     for name, values in arrays.items():
         out[name] = [values[i:j].tobytes() for i, j in zip(cuts.tolist(), ends.tolist(), strict=True)]
