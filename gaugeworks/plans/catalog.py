@@ -104,7 +104,7 @@ def limit_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select l_orderkey, l_linenumber, l_partkey, l_suppkey, n || '.5' as nominal_str, '+0.0' || t as upper_tol, '-0.1' || t as lower_tol, 'local_stacked' as tol_type from (select *, cast(20 + l_partkey % 70 as varchar) as n, cast(1 + l_linenumber % 9 as varchar) as t from lineitem)")
 def stacked_multiline(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, t = (20 + F.col("l_partkey") % 70).cast("string"), (1 + F.col("l_linenumber") % 9).cast("string")
-    rows = table(spark, sf_dir, "lineitem").select(*KEYS, F.concat(F.lit("+0.0"), t, F.lit("\n"), n, F.lit(".5\n-0.1"), t).alias("raw_text"))
+    rows = inputs.spread(table(spark, sf_dir, "lineitem").select(*KEYS)).select(*KEYS, F.concat(F.lit("+0.0"), t, F.lit("\n"), n, F.lit(".5\n-0.1"), t).alias("raw_text"))
     return grammar.parse(rows).select(*KEYS, "dim.nominal_str", "dim.upper_tol", "dim.lower_tol", "dim.tol_type")
 
 

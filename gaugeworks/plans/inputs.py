@@ -12,13 +12,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if its files give fewer tasks than there are cores; what is parsed costs far more than the exchange."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _two(c) -> F.Column:
     return F.lpad(c.cast("string"), 2, "0")
 
 
 def callouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lineitem`` keys with ``fam`` and ``raw_text``, one of eight forms."""
-    line = table(spark, sf_dir, "lineitem").select(*KEYS)
+    line = spread(table(spark, sf_dir, "lineitem").select(*KEYS))
     n, dd, t = 10 + F.col("l_partkey") % 90, _two(F.col("l_suppkey") % 100), 1 + F.col("l_linenumber") % 9
     n, t = n.cast("string"), t.cast("string")
     fam = ((F.col("l_orderkey") + F.col("l_linenumber")) % 8).cast("int")
