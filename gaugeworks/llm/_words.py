@@ -132,7 +132,7 @@ def texts_of(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
     """Consecutive parts of a batch, each with ``most`` bytes in ``column`` or one row."""
     import pyarrow.compute as pc
 

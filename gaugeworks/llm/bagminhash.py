@@ -37,7 +37,7 @@ from gaugeworks.llm._words import Words, mix, ranges, slices, window_hashes
 from gaugeworks.llm.components import components
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 5
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def shingle_bags(column, width: int = SHINGLE) -> tuple[Words, list[tuple[np.ndarray, np.ndarray]]]:
@@ -149,7 +149,7 @@ def occurrences(bag: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return np.sort(mix(np.repeat(shingle, count) + nth * np.uint64(0x9FB21C651E98DF25)))
 
 
-def _overlaps(column: np.ndarray, bound: np.ndarray, df: np.ndarray, rows: np.ndarray, cells: int = 1 << 23):
+def _overlaps(column: np.ndarray, bound: np.ndarray, df: np.ndarray, rows: np.ndarray, cells: int = 1 << 22):
     """For blocks of ``rows``: the block, and how many columns each of its rows shares with every row.
 
     Columns that an eighth of the rows hold go through a dense product, others through their lists of rows.

@@ -156,7 +156,7 @@ class RegexSplitter:
 class Codec:
     """Encodes and decodes Arrow columns.  ``most`` pre-tokens are remembered at a time, by a 64-bit hash."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 150_000):
         tokens = sorted(ranks, key=ranks.__getitem__)
         if missing := [b for b in range(256) if bytes([b]) not in ranks]:
             raise ValueError(f"the vocabulary lacks {len(missing)} single bytes")
