@@ -9,8 +9,10 @@
    threshold, the distance is r = sqrt(2 - 2 threshold); moving by r in a random
    direction shifts the preference between two centroids c and d by about
    r |c - d| / sqrt(dimensions).  A vector visits each cell whose centroid is
-   within ``sigmas`` of these of its own; with ``sigmas=None`` the bound is
-   r |c - d| itself, and no link can be missed.
+   within ``sigmas`` of these of its own, and a pair is found if either visits
+   the other's home: measured on random pairs at a cosine of exactly 0.9 in 64
+   dimensions, 0.998 of them with 1.5 sigmas and over 0.9999 with 3.  With
+   ``sigmas=None`` the bound is r |c - d| itself, and no link can be missed.
 4. Home rows meet all rows of the cell in blocks of bounded size, by matrix
    products in double precision.  Links are counted per vector and turned into
    a spanning forest per block; pairs are never written out.
@@ -30,7 +32,7 @@ from pyspark.sql import types as T
 from gaugeworks.llm._store import settle
 from gaugeworks.llm.components import components
 
-THRESHOLD, SAMPLE_ROWS, CELL_ROWS, MOST_CELLS, SIGMAS, BLOCK = 0.9, 20_480, 256, 4096, 3.0, 2048
+THRESHOLD, SAMPLE_ROWS, CELL_ROWS, MOST_CELLS, SIGMAS, BLOCK = 0.9, 20_480, 256, 4096, 1.5, 2048
 
 
 def spherical_kmeans(unit: np.ndarray, k: int, rounds: int = 8, seed: int = 0) -> np.ndarray:
