@@ -62,7 +62,7 @@ def decode_vision(answers: DataFrame, json_col: str = "answer") -> DataFrame:
     found = F.from_json(unfenced(F.col(json_col)), ANSWER)["dimensions"]
     item = answers.select(*[c for c in answers.columns if c != json_col], F.posexplode(found).alias("item_no", "_d"))
     box = F.col("_d.box_2d")
-    at = lambda i: F.get(box, F.lit(i)) / 1000
-    out = item.where(F.size(box) == 4).withColumns({"crop_x": F.greatest(F.lit(0.0), at(1)), "crop_y": F.greatest(F.lit(0.0), at(0)), "crop_width": F.least(F.lit(1.0), at(3) - at(1)), "crop_height": F.least(F.lit(1.0), at(2) - at(0))})
+    at = lambda i: F.get(box, F.lit(i))
+    out = item.where(F.size(box) == 4).withColumns({"crop_x": F.greatest(F.lit(0.0), at(1) / 1000), "crop_y": F.greatest(F.lit(0.0), at(0) / 1000), "crop_width": F.least(F.lit(1.0), (at(3) - at(1)) / 1000), "crop_height": F.least(F.lit(1.0), (at(2) - at(0)) / 1000)})
     out = out.where("crop_width between 0.005 and 0.6 and crop_height between 0.005 and 0.6").withColumn("label", F.coalesce("_d.label", F.lit("")))
     return out.withColumns({"x": F.col("crop_x") * F.col("width"), "y": F.col("crop_y") * F.col("height"), "w": F.col("crop_width") * F.col("width"), "h": F.col("crop_height") * F.col("height")}).drop("_d")
