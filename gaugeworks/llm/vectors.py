@@ -5,14 +5,16 @@
    takes no part.
 2. Spherical k-means on a bounded sample (``sample_rows``, the smallest hashes of
    the ids) gives the cells; the number of cells grows with the table.
-3. Every vector has a home cell and visits others.  For a partner at the
-   threshold, the distance is r = sqrt(2 - 2 threshold); moving by r in a random
-   direction shifts the preference between two centroids c and d by about
-   r |c - d| / sqrt(dimensions).  A vector visits each cell whose centroid is
-   within ``sigmas`` of these of its own, and a pair is found if either visits
-   the other's home: measured on random pairs at a cosine of exactly 0.9 in 64
-   dimensions, 0.998 of them with 1.5 sigmas and over 0.9999 with 3.  With
-   ``sigmas=None`` the bound is r |c - d| itself, and no link can be missed.
+3. Every vector has a home cell and visits others.  For a partner b of a at the
+   threshold, |a - b| is at most r = sqrt(2 - 2 threshold).  If a is at home with
+   centroid c and b with d, then a prefers c, b prefers d, and the two margins
+   add up to (a - b)(c - d), at most r |c - d|; so one of them is at most half of
+   that.  A vector visits each cell whose centroid is within r |c - d| / 2 of its
+   own, a pair is found if either visits the other's home, and so no link can be
+   missed, whatever the vectors look like.  With ``sigmas`` the window is narrowed
+   to ``sigmas`` times r |c - d| / sqrt(dimensions), the spread of a margin under
+   a move by r in a random direction: faster, but vectors that lie mostly in few
+   directions lose links.
 4. Home rows meet all rows of the cell in blocks of bounded size, by matrix
    products in double precision.  Links are counted per vector and turned into
    a spanning forest per block; pairs are never written out.
@@ -32,7 +34,9 @@ from pyspark.sql import types as T
 from gaugeworks.llm._store import settle
 from gaugeworks.llm.components import components
 
-THRESHOLD, SAMPLE_ROWS, CELL_ROWS, MOST_CELLS, SIGMAS, BLOCK = 0.9, 20_480, 256, 4096, 1.5, 2048
+THRESHOLD, SAMPLE_ROWS, CELL_ROWS, MOST_CELLS, BLOCK = 0.9, 20_480, 256, 4096, 2048
+#: A window for ``sigmas`` that finds 0.998 of random pairs at a cosine of exactly 0.9 in 64 dimensions; not the default.
+SIGMAS = 1.5
 
 
 def spherical_kmeans(unit: np.ndarray, k: int, rounds: int = 8, seed: int = 0) -> np.ndarray:
@@ -74,7 +78,7 @@ def _pack(batches):
 
 
 def _placer(centres: np.ndarray, reach: float):
-    gap = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 0)) * reach
+    gap = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 0)) * reach + 1e-9  # for rounding
 
     def run(batches):
         for whole in batches:
@@ -93,10 +97,10 @@ def _placer(centres: np.ndarray, reach: float):
                     if f:
                         h, v = next(found)
                         home.append(h)
-                        cells.append(np.flatnonzero(v).tolist())
+                        cells.append(np.flatnonzero(v).astype(np.int32))
                     else:  # another dimension: one cell of its own
                         home.append(-len(x))
-                        cells.append([-len(x)])
+                        cells.append(np.array([-len(x)], np.int32))
                 yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("packed"), batch.column("n"), pa.array(home, pa.int32()), pa.array(cells, pa.list_(pa.int32()))], ["id", "packed", "n", "home", "cells"])
 
     return run
@@ -112,10 +116,10 @@ def _compare(threshold: float):
         if not first.any() or first.all():
             return _LINKS.empty_table()
         ids, home, n = (table.column(c).to_numpy() for c in ("id", "home", "n"))
-        unit, cells = _unit(table.column("packed").to_pylist()), table.column("cells").to_pylist()
+        unit, cells = _unit(table.column("packed").to_pylist()), table.column("cells").combine_chunks()
+        starts, visited = cells.offsets.to_numpy(), cells.values.to_numpy()
         own, other = np.flatnonzero(first), np.flatnonzero(~first)
         homes, which = np.unique(home[other], return_inverse=True)
-        place = {h: k for k, h in enumerate(homes.tolist())}
         links = np.zeros(len(ids), np.int64)
         parent = list(range(len(ids)))
         row_of: dict[int, int] = {}
@@ -141,7 +145,7 @@ def _compare(threshold: float):
             links[block] += near @ n[other]
             seen = np.zeros((len(block), len(homes)), bool)  # does the home row visit that home? then the other row counts there
             for r, i in enumerate(block.tolist()):
-                seen[r, [place[c] for c in cells[i] if c in place]] = True
+                seen[r] = np.isin(homes, visited[starts[i] : starts[i + 1]])
             alone = near & ~seen[:, which] & (home[other] != cell)[None, :]
             links[other] += n[block] @ alone
             for r in np.flatnonzero(near.any(axis=1)).tolist():
@@ -154,7 +158,7 @@ def _compare(threshold: float):
     return run
 
 
-def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, sigmas: float | None = SIGMAS, sample_rows: int = SAMPLE_ROWS, cell_rows: int = CELL_ROWS, block: int = BLOCK) -> DataFrame:
+def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, sigmas: float | None = None, sample_rows: int = SAMPLE_ROWS, cell_rows: int = CELL_ROWS, block: int = BLOCK) -> DataFrame:
     """One row per row of ``df``: ``id, n_links, component_id, kept``.
 
     ``n_links`` counts the other rows linked directly, ``component_id`` is the
@@ -175,7 +179,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     unit = _unit([x for x in sample if len(x) == usual]) if sample else np.ones((1, 1))
     k = max(1, min(MOST_CELLS, total // cell_rows, len(unit) // 4))
     centres = spherical_kmeans(unit, k)
-    reach = math.sqrt(2 - 2 * threshold) * (1.0 if sigmas is None else min(1.0, sigmas / math.sqrt(usual // 8)))
+    reach = math.sqrt(2 - 2 * threshold) * (0.5 if sigmas is None else min(0.5, sigmas / math.sqrt(usual // 8)))
     placed = settle(reps.select("id", "packed", "n").mapInArrow(_placer(centres, reach), "id long, packed binary, n long, home int, cells array<int>"), "placed")
     spread = placed.select("id", "home", F.explode("cells").alias("cell"))
     load = spread.groupBy("cell").agg(F.count("*").alias("rows"), F.sum(F.when(F.col("home") == F.col("cell"), 1).otherwise(0)).alias("homes"))
@@ -186,7 +190,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     columns = ["cell", "i", "j", "first", "id", "packed", "n", "home", "cells"]
     left = every.where("home = cell").withColumn("i", spot("n_own")).withColumn("j", upto("n_other")).withColumn("first", F.lit(True)).select(columns)
-    right = every.withColumn("j", spot("n_other")).withColumn("i", upto("n_own")).withColumn("first", F.lit(False)).select(columns)
+    right = every.withColumn("j", spot("n_other")).withColumn("i", upto("n_own")).withColumns({"first": F.lit(False), "cells": F.lit(None).cast("array<int>")}).select(columns)
     found = settle(left.unionByName(right).groupBy("cell", "i", "j").applyInArrow(_compare(threshold), "id long, links long, root long"), "links")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))

@@ -301,6 +301,24 @@ def test_vector_recall_at_the_threshold():
     assert (visits[1][i, home[0]] | visits[0][i, home[1]]).mean() > 0.99
 
 
+@pytest.mark.parametrize("directions, noise", [(4, 0.02), (8, 0.02), (16, 0.0)])
+def test_vector_links_of_correlated_vectors_are_whole(spark, directions, noise):
+    from gaugeworks.llm.vectors import near_vectors
+
+    draw = np.random.default_rng(directions)
+    n, unit = 3000, lambda x: x / np.linalg.norm(x, axis=1)[:, None]  # 11 cells at the default of rows a cell
+    flat = unit(draw.normal(size=(n, directions)))
+    side = draw.normal(size=(n // 3, directions))
+    side = unit(side - (side * flat[: n // 3]).sum(1)[:, None] * flat[: n // 3])
+    flat[n // 3 : 2 * (n // 3)] = 0.915 * flat[: n // 3] + np.sqrt(1 - 0.915**2) * side
+    basis = np.linalg.qr(draw.normal(size=(64, directions)))[0]
+    v = unit(flat @ basis.T + noise * draw.normal(size=(n, 64)))
+    near = v @ v.T >= 0.9
+    np.fill_diagonal(near, False)
+    out = near_vectors(spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")).collect()
+    assert {r.id: r.n_links for r in out} == dict(enumerate(near.sum(1).tolist()))
+
+
 # ---- op9
 
 
