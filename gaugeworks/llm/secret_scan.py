@@ -34,12 +34,14 @@ SENSITIVE = {
     "password": 3, "passwd": 3, "passphrase": 3, "pwd": 3, "secret": 3, "credential": 3, "privatekey": 3, "apikey": 3, "accesskey": 3,
     "token": 2.5, "bearer": 2.5, "authkey": 2.5, "signingkey": 2.5, "encryptionkey": 2.5, "connectionstring": 2, "auth": 1.5, "pass": 1.5,
 }
-#: Literals outside these lengths are not scored.
-CUT, LEAST_LITERAL, MOST_LITERAL = 4.0, 6, 4096
-
-_NAME = r"(?<![A-Za-z0-9_])[A-Za-z_][A-Za-z0-9_.\-]{0,80}"
-_TEXT = "|".join(rf"{q}[^{q}\n\\]{{0,{MOST_LITERAL}}}{q}" for q in "\"'`")
-_PAIR = re.compile(rf"""(?P<quote>["']?)(?P<name>{_NAME})(?P=quote)\x20*(?::=|=>|[:=])\x20*(?P<value>(?:{_TEXT})(?:\x20*\+\x20*(?:{_TEXT}))*|[A-Za-z0-9+/_.=\-]{{1,{MOST_LITERAL}}})""")
+#: Shorter literals are not scored.
+CUT, LEAST_LITERAL = 4.0, 6
+
+# No bounds on lengths: a run of name characters is tried at its start only, parts that no name begins with apart, and nothing
+# that has been taken is given back, so the time stays linear.  A string holds escapes and ends on its line.
+_NAME = r"(?<![A-Za-z0-9_.\-])(?:[.\-]++|[0-9][A-Za-z0-9_]*+(?=[.\-]))*+(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*+)"
+_TEXT = "|".join(rf"{q}[^{q}\n\\]*+(?:\\.[^{q}\n\\]*+)*+{q}" for q in "\"'`")
+_PAIR = re.compile(rf"""(?P<quote>["']?){_NAME}(?P=quote)\x20*+(?::=|=>|[:=])\x20*+(?P<value>(?:{_TEXT})(?:\x20*+\+\x20*+(?:{_TEXT}))*+|[A-Za-z0-9+/_.=\-]++)""")
 _STRING = re.compile(_TEXT)
 _PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|changeme|example|placeholder|none|null|true|false|todo|your[-_].*|<.*>|\$\{.*\}|env.*)$")
 
@@ -81,7 +83,7 @@ def literal_spans(text: str) -> list[tuple[int, int, str]]:
     if "=" not in text and ":" not in text:
         return []
     constants: dict[str, tuple[str, list[tuple[int, int]]]] = {}
-    found = set()
+    found, looks = set(), {}
     for m in _PAIR.finditer(text):
         raw, at = m["value"], m.start("value")
         if raw[0] in "\"'`":
@@ -93,7 +95,9 @@ def literal_spans(text: str) -> list[tuple[int, int, str]]:
             value, spans = raw, [(at, at + len(raw))]
         constants[m["name"]] = value, spans
         weight = sensitivity(m["name"])
-        if weight and weight + look(value) >= CUT:
+        if weight and value not in looks:
+            looks[value] = look(value)
+        if weight and weight + looks[value] >= CUT:
             found.update((i, j, "literal") for i, j in spans if j > i)
     return sorted(found)
 
