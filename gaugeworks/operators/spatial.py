@@ -17,22 +17,27 @@ from gaugeworks.operators.geometry import Rect, containment, gap, holds, iou, ov
 CELL = 64.0
 
 
-def grid_join(left: DataFrame, right: DataFrame, on: list[str], reach: float = 0.0, cell: float = CELL) -> DataFrame:
+def grid_join(left: DataFrame, right: DataFrame, on: list[str], reach: float | Column = 0.0, cell: float = CELL) -> DataFrame:
     """Pairs whose boxes, the left ones grown by ``reach`` to all sides, meet.
 
     Both sides have ``x0, y0, x1, y1``; columns come out with ``a_`` and ``b_``
-    in front, those of ``on`` as they are.  A residual condition is the caller's.
+    in front, those of ``on`` as they are.  ``reach`` is a number or, for each
+    left row its own, an expression of left columns.  A residual condition is
+    the caller's.
     """
-    edge = lambda c, d=0.0: F.floor((F.col(c) + d) / cell).cast("int")
+    edge = lambda c, d: F.floor((F.col(c) + d) / cell).cast("int")
 
-    def spread(df: DataFrame, side: str, r: float) -> DataFrame:
+    def spread(df: DataFrame, side: str, r: Column) -> DataFrame:
+        df = df.withColumn("_reach", r.cast("double"))
+        r = F.col("_reach")
         df = df.withColumn("_gx", F.explode(F.sequence(edge("x0", -r), edge("x1", r)))).withColumn("_gy", F.explode(F.sequence(edge("y0", -r), edge("y1", r))))
         return df.select(*on, "_gx", "_gy", *[F.col(c).alias(side + c) for c in df.columns if c not in (*on, "_gx", "_gy")])
 
-    pairs = spread(left, "a_", reach).join(spread(right, "b_", 0.0), [*on, "_gx", "_gy"])
-    first = lambda c: F.greatest(F.floor((F.col("a_" + c) - reach) / cell), F.floor(F.col("b_" + c) / cell))
-    touch = (F.col("a_x0") - reach <= F.col("b_x1")) & (F.col("b_x0") <= F.col("a_x1") + reach) & (F.col("a_y0") - reach <= F.col("b_y1")) & (F.col("b_y0") <= F.col("a_y1") + reach)
-    return pairs.where((F.col("_gx") == first("x0")) & (F.col("_gy") == first("y0")) & touch).drop("_gx", "_gy")
+    pairs = spread(left, "a_", reach if isinstance(reach, Column) else F.lit(reach)).join(spread(right, "b_", F.lit(0.0)).drop("b__reach"), [*on, "_gx", "_gy"])
+    r = F.col("a__reach")
+    first = lambda c: F.greatest(F.floor((F.col("a_" + c) - r) / cell), F.floor(F.col("b_" + c) / cell))
+    touch = (F.col("a_x0") - r <= F.col("b_x1")) & (F.col("b_x0") <= F.col("a_x1") + r) & (F.col("a_y0") - r <= F.col("b_y1")) & (F.col("b_y0") <= F.col("a_y1") + r)
+    return pairs.where((F.col("_gx") == first("x0")) & (F.col("_gy") == first("y0")) & touch).drop("_gx", "_gy", "a__reach")
 
 
 A, B = Rect.of("a_"), Rect.of("b_")
@@ -58,29 +63,31 @@ def _distances() -> tuple[Column, Column]:
     return gap(A.x0, A.x1, B.x0, B.x1), gap(A.y0, A.y1, B.y0, B.y1)
 
 
-def near_pairs_vector(boxes: DataFrame, reach: float = 96.0) -> DataFrame:
+def near_pairs_vector(boxes: DataFrame) -> DataFrame:
     """Pairs of boxes of one page and orientation, the earlier ``seq`` first, that may be one dimension; ``dist`` is dx + dy.
 
     On one line: dx < 1.5 h and dy < 0.45 h; stacked: dy < 1.2 h and dx < 0.8 h,
     with h the lesser height, 8 at least.  Not if both begin with a symbol, nor
-    if either has a whole tolerance.  ``reach`` bounds 1.5 h: boxes higher than
-    two thirds of it are compared only that far.
+    if either has a whole tolerance.  A box reaches as far as its own height
+    allows, which is no less than h, so no pair is missed.
     """
     dx, dy = _distances()
     h = F.greatest(F.lit(8), F.least(A.y1 - A.y0, B.y1 - B.y0))
     own = lambda side: F.trim(F.col(f"{side}_text"))
     veto = own("a").rlike(HAS_PREFIX) & own("b").rlike(HAS_PREFIX) | own("a").rlike(HAS_TOLERANCE) | own("b").rlike(HAS_TOLERANCE)
     near = (dx < h * 1.5) & (dy < h * 0.45) | (dy < h * 1.2) & (dx < h * 0.8)
+    reach = F.greatest(F.lit(8), F.col("y1") - F.col("y0")) * 1.5
     pairs = grid_join(boxes, boxes, [*PAGE, "orientation"], reach).where(F.col("a_seq") < F.col("b_seq"))
     return pairs.where(near & ~veto).withColumn("dist", dx + dy)
 
 
-def near_pairs_scanned(boxes: DataFrame, reach: float = 96.0) -> DataFrame:
+def near_pairs_scanned(boxes: DataFrame) -> DataFrame:
     """As :func:`near_pairs_vector` for scanned text: 1.5 and 0.35, 0.90 and 0.60, 10 at least; at 90 degrees the axes change places."""
     dx, dy = _distances()
     h, w = F.greatest(F.lit(10), F.least(A.y1 - A.y0, B.y1 - B.y0)), F.greatest(F.lit(10), F.least(A.x1 - A.x0, B.x1 - B.x0))
     flat = (dx < h * 1.5) & (dy < h * 0.35) | (dy < h * 0.90) & (dx < h * 0.60)
     turned = (dy < w * 1.5) & (dx < w * 0.35) | (dx < w * 0.90) & (dy < w * 0.60)
+    reach = F.greatest(F.lit(10), F.when(F.col("orientation") == 0, F.col("y1") - F.col("y0")).otherwise(F.col("x1") - F.col("x0"))) * 1.5
     pairs = grid_join(boxes, boxes, [*PAGE, "orientation"], reach).where(F.col("a_seq") < F.col("b_seq"))
     return pairs.where(F.when(F.col("orientation") == 0, flat).otherwise(turned)).withColumn("dist", dx + dy)
 

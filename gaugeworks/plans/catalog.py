@@ -232,7 +232,7 @@ def box_pairs_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {BOXES_SQL}, j as (select a.seq as a, b.seq as b, a.orientation as o, {_GAPS}, {_SIDES} from b a join b b on a.doc_id = b.doc_id and a.orientation = b.orientation and a.seq < b.seq) select a, b, dx + dy as dist from j where case when o = 0 then dx < 1.5 * greatest(10, lh) and dy < 0.35 * greatest(10, lh) or dy < 0.9 * greatest(10, lh) and dx < 0.6 * greatest(10, lh) else dy < 1.5 * greatest(10, lw) and dx < 0.35 * greatest(10, lw) or dx < 0.9 * greatest(10, lw) and dy < 0.6 * greatest(10, lw) end")
 def box_pairs_scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.near_pairs_scanned(inputs.boxes(spark, sf_dir), reach=128.0).select(F.col("a_seq").alias("a"), F.col("b_seq").alias("b"), "dist")
+    return spatial.near_pairs_scanned(inputs.boxes(spark, sf_dir)).select(F.col("a_seq").alias("a"), F.col("b_seq").alias("b"), "dist")
 
 
 _MEET = f"{BOXES_SQL}, j as (select a.seq as a, b.seq as b, a.orientation as oa, b.orientation as ob, a.text as ta, b.text as tb, (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) as i, (a.x1 - a.x0) * (a.y1 - a.y0) as s, (b.x1 - b.x0) * (b.y1 - b.y0) as t from b a join b b on a.doc_id = b.doc_id and a.seq <> b.seq where least(a.x1, b.x1) > greatest(a.x0, b.x0) and least(a.y1, b.y1) > greatest(a.y0, b.y0))"

@@ -1,6 +1,7 @@
 """Folds, rules, sources and streams on small hand-made tables, and the catalogue against DuckDB."""
 
 import os
+import random
 
 import duckdb
 import pytest
@@ -36,6 +37,29 @@ def test_clusters_keep_two_nominals_apart(spark):
     assert {r.seq: r.cluster for r in cluster.cluster_boxes(df).collect()} == {1: 1, 2: 2, 3: 2, 4: 4}
 
 
+def test_pairs_of_large_boxes(spark):
+    draw = random.Random(0)
+    rows = [box(i, "7", x := draw.randrange(1500), y := draw.randrange(1500), x + draw.randint(5, 240), y + draw.randint(5, 240), 1.0, draw.choice((0, 90))) for i in range(250)]
+    rows += [box(250, "A", 3000, 0, 3081, 10, 1.0, 90), box(251, "B", 3000, 120, 3081, 130, 1.0, 90), box(252, "A", 5000, 0, 5010, 90), box(253, "B", 5125, 0, 5135, 90)]
+    df = spark.createDataFrame(rows, sources.BOXES)
+    want = {True: set(), False: set()}
+    for a in rows:
+        for b in rows:
+            if a[2] < b[2] and a[9] == b[9]:
+                dx, dy = (max(0, max(a[k], b[k]) - min(a[k + 2], b[k + 2])) for k in (4, 5))
+                w, h = (min(a[k + 2] - a[k], b[k + 2] - b[k]) for k in (4, 5))
+                v = max(8, h)
+                if dx < 1.5 * v and dy < 0.45 * v or dy < 1.2 * v and dx < 0.8 * v:
+                    want[False].add((a[2], b[2]))
+                along, across, s = (dx, dy, max(10, h)) if a[9] == 0 else (dy, dx, max(10, w))
+                if along < 1.5 * s and across < 0.35 * s or across < 0.90 * s and along < 0.60 * s:
+                    want[True].add((a[2], b[2]))
+    assert [(r.a_seq, r.b_seq) for r in spatial.near_pairs_vector(df).orderBy("a_seq", "b_seq").collect()] == sorted(want[False])
+    assert [(r.a_seq, r.b_seq) for r in spatial.near_pairs_scanned(df).orderBy("a_seq", "b_seq").collect()] == sorted(want[True])
+    found = {r.seq: r.cluster for r in cluster.cluster_boxes(df.where("seq >= 250"), scanned=True).collect()}
+    assert found == {250: 250, 251: 250, 252: 252, 253: 252}
+
+
 def test_suppression_is_settled(spark):
     df = spark.createDataFrame([box(1, "ab", 0, 0, 20, 10), box(2, "abcd", 1, 0, 21, 10), box(3, "z", 50, 0, 60, 10)], sources.BOXES).withColumnRenamed("text", "raw_text")
     once = cluster.suppress_overlaps(df)
