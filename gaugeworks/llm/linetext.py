@@ -3,16 +3,18 @@
 Markup is stripped into lines, one per block element; parts that are never
 article text (scripts, menus, forms, adverts, comments and the like) leave a
 gap of empty lines.  The weight of a line is its text length, nothing for a line
-that is mostly links; where the page marks an article, lines outside it weigh
-nothing and each line inside carries the surge by itself.  Sums over a window of
-lines rise at a surge point and fall to nothing at a dive point, and the text
-between the two is kept.
+that is mostly links.  Sums over a window of lines rise at a surge point and
+fall to nothing at a dive point, and the text between the two is kept, lines
+that the window bridges included.  A dropped part between two lines of one
+container leaves no gap: the text around it is one run.  Where the page marks
+its article the sums are not used: each line inside is kept, none outside.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,7 @@ _RAW = frozenset("script style noscript template textarea title iframe svg math
 _DROPPED = frozenset("nav footer aside form button select menu dialog".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCKS = frozenset("address article aside blockquote body caption center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
+_CONTAINERS = frozenset("article blockquote body center dd details div fieldset figure li main section td th".split())
 _HINTS = frozenset("""
 ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs
 footer sidebar aside notice cookie cookies consent gdpr popup modal overlay newsletter subscribe signup login form search share sharing social
@@ -55,24 +58,25 @@ def _unwanted(name: str, attributes: str, in_article: bool) -> bool:
 
 
 class _Line:
-    __slots__ = ("parts", "linked", "article")
+    __slots__ = ("parts", "linked", "article", "container")
 
-    def __init__(self, article: bool):
-        self.parts, self.linked, self.article = [], 0, article
+    def __init__(self, article: bool, container: int):
+        self.parts, self.linked, self.article, self.container = [], 0, article, container
 
 
-def lines(page: str) -> list[tuple[str, float, bool]]:
-    """(text, share of it in links, inside an article) of each block; a dropped part is an empty line."""
-    out: list[tuple[str, float, bool]] = []
-    line, at, n = _Line(False), 0, len(page)
+def lines(page: str) -> list[tuple[str, float, bool, int]]:
+    """(text, share of it in links, inside an article, number of its container) of each block; a dropped part is an empty line."""
+    out: list[tuple[str, float, bool, int]] = []
+    line, at, n = _Line(False, 0), 0, len(page)
+    opened, inside, count = Counter(), [("", 0)], 0
     skip, depth, article, links = "", 0, 0, 0
 
     def flush() -> None:
         nonlocal line
         text = " ".join(html.unescape("".join(line.parts)).split())
         if text:
-            out.append((text, min(1.0, line.linked / len(text)), line.article))
-        line = _Line(article > 0)
+            out.append((text, min(1.0, line.linked / len(text)), line.article, line.container))
+        line = _Line(article > 0, inside[-1][1])
 
     while at < n:
         m = _TOKEN.match(page, at)
@@ -98,6 +102,12 @@ def lines(page: str) -> list[tuple[str, float, bool]]:
         elif name == "br":
             line.parts.append(" ")
         if close:
+            if opened[name]:
+                while inside[-1][0] != name:
+                    opened[inside.pop()[0]] -= 1
+                inside.pop()
+                opened[name] -= 1
+                line.container = inside[-1][1]
             if name in ("article", "main"):
                 article = max(0, article - 1)
                 line.article = article > 0
@@ -107,11 +117,18 @@ def lines(page: str) -> list[tuple[str, float, bool]]:
         if name in _RAW:
             end = re.compile(rf"</{re.escape(name)}\s*(?:>|\Z)", re.IGNORECASE).search(page, at)
             at = end.end() if end else n
-        elif name not in _VOID and _unwanted(name, attributes, article > 0):
+            continue
+        if name not in _VOID and _unwanted(name, attributes, article > 0):
             if not attributes.endswith("/"):
                 flush()
-                out.append(("", 0.0, False))
+                out.append(("", 0.0, False, 0))
                 skip, depth = name, 1
+            continue
+        if name in _CONTAINERS and not attributes.endswith("/"):
+            count += 1
+            inside.append((name, count))
+            opened[name] += 1
+            line.container = count
         elif name in ("article", "main"):
             article += 1
             line.article = True
@@ -127,13 +144,22 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     Without a surge the stretch of the largest sum is kept.
     """
     found = lines(page or "")
-    marked = any(a and t for t, _, a in found)
+    marked = any(a and t for t, _, a, _ in found)
+    before, container = [], 0  # of each line, the container of the last text before it
+    for t, _, _, c in found:
+        before.append(container)
+        container = c if t else container
+    behind, container = [], -1
+    for t, _, _, c in reversed(found):
+        behind.append(container)
+        container = c if t else container
+    behind.reverse()
     text, weight, article = [], [], []
-    for t, share, a in found:
+    for (t, share, a, _), b, c in zip(found, before, behind, strict=True):
         if t:
             text.append(t)
             weight.append((len(t) + surge if a else 0) if marked else 0 if share > 0.5 else len(t))
-        elif not marked:
+        elif not marked and b != c:
             text += [""] * window
             weight += [0] * window
     if not any(weight):
@@ -154,7 +180,7 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
                 joined.append([i, j])
         peak = [max(sums[i:j]) for i, j in joined]
         kept = [s for s, p in zip(joined, peak, strict=True) if p >= surge] or [joined[int(np.argmax(peak))]]
-    return "\n\n".join(t for i, j in kept for t, w in zip(text[i:j], weight[i:j], strict=True) if t and w)
+    return "\n\n".join(t for i, j in kept for t in text[i:j] if t)
 
 
 def extract(df: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

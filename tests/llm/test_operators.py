@@ -178,6 +178,17 @@ def test_main_text(spark):
     assert out == {1: ("Head & more\n\nOne two\n\nx", 23), 2: ("", 0)}
 
 
+def test_main_text_is_whole_around_dropped_parts():
+    from gaugeworks.llm.linetext import main_text
+
+    long = "This sentence is a part of a long paragraph. " * 7
+    whole = lambda *x: "\n\n".join(" ".join(t.split()) for t in x)
+    assert main_text(f"<div><p>{long}</p><div class=ad>buy</div><p>The end.</p></div>") == whole(long, "The end.")
+    assert main_text(f"<div><p>First.</p><aside>x</aside><form>y</form><p>{long}</p><nav>z</nav><p>Last.</p></div>") == whole("First.", long, "Last.")
+    assert main_text(f"<p>{long}</p><p><a href=1>see there</a></p><p>{long}</p>") == whole(long, "see there", long)
+    assert main_text(f"<div><p>{long}</p></div><div class=ad>buy</div><div><p>Other.</p></div>") == whole(long)
+
+
 # ---- op6
 
 
