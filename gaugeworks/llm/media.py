@@ -75,9 +75,10 @@ def feature(samples: np.ndarray) -> str:
     return f"{WIDTH}x{len(samples)};" + ",".join(map(str, means.tolist())) + ";" + ",".join(map(str, counts.tolist()))
 
 
-def interleaved_page(digest: str, n_bytes: int, lead: str) -> str:
-    """A page of a text and the media made from it."""
-    return f'<article><p>{html.escape(lead)}</p><figure><img src="sha256:{digest}" width="{WIDTH}" data-bytes="{n_bytes}"><figcaption>text of {n_bytes} bytes</figcaption></figure></article>'
+def interleaved_page(digest: str, n_bytes: int, text: str) -> str:
+    """A page of a whole text, a paragraph for each line that is not blank, and the media made from it."""
+    paragraphs = "".join(f"<p>{html.escape(line)}</p>" for line in text.split("\n") if line.strip())
+    return f'<article>{paragraphs}<figure><img src="sha256:{digest}" width="{WIDTH}" data-bytes="{n_bytes}"><figcaption>text of {n_bytes} bytes</figcaption></figure></article>'
 
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<!--.*?(?:-->|\Z)|([^<]+)|(<)""", re.DOTALL)
@@ -144,7 +145,7 @@ def store_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 texts = texts_of(batch.column("text"))
                 media = [to_png(pad(t)) for t in texts]
                 digests = [hashlib.sha256(m).hexdigest() for m in media]
-                pages = [interleaved_page(d, len(t), t[:80].decode("utf-8", "ignore")) for d, t in zip(digests, texts, strict=True)]
+                pages = [interleaved_page(d, len(t), t.decode("utf-8")) for d, t in zip(digests, texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(digests), pa.array(media, pa.binary()), pa.array(pages)], ["id", "digest", "media", "page"])
 
     kind = df.schema[id_col].dataType.simpleString()

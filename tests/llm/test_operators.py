@@ -160,6 +160,17 @@ def test_media(spark):
     assert parse_items(None) == [] and parse_items("") == []
 
 
+def test_pages_hold_the_whole_text(spark):
+    from gaugeworks.llm.media import sequences, store_media
+
+    rows = [(1, "é & <b> &amp; word " * 300 + "\n\n second  line\nlast", "s"), (2, None, "s"), (3, " \n", "s")]
+    out = {r.id: r["items"] for r in sequences(store_media(docs(spark, rows)), "id", "page").collect()}
+    for i, t, _ in rows:
+        *texts, media = out[i]
+        assert [x.text for x in texts] == [" ".join(line.split()) for line in (t or "").split("\n") if line.strip()]
+        assert media.kind == "media" and media.n_bytes == len((t or "").encode())
+
+
 # ---- op5
 
 
