@@ -52,16 +52,16 @@ def whitelist(text: Column) -> Column:
     return F.regexp_replace(text, f"[^{ALLOWED}]", "")
 
 
-def clean_lines(text: Column) -> Column:
-    """Lines with a digit or a drawing letter, without separators at their ends, blanks squeezed, decimals closed up."""
+#: What stands between two parts of a line and means nothing at its ends.
+_EDGES = r"^[/:.,xX\s]+|[/xX:,\s]+$"
+_INNER = [(r"[ \t]+", " "), (r"(?<=[0-9])\s*\.\s*(?=[0-9])", ".")]
 
-    def one(line: Column) -> Column:
-        led = F.regexp_replace(line, r"^[/:.,xX\s]+", "")
-        line = F.when(line.rlike(r"^[+-]0?\.[0-9]"), line).otherwise(led)
-        return F.trim(fold(line, [(r"[/xX:, \t]+$", ""), (r"[ \t]+", " "), (r"([0-9])\s*\.\s*([0-9])", "$1.$2")]))
 
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda s: F.trim(s)), lambda s: s.rlike("(?i)[0-9Ø°RCDMX□■]"))
-    return F.array_join(F.filter(F.transform(lines, one), lambda s: s != ""), "\n")
+def clean_lines(text: Column) -> Column:
+    """Lines with a digit or a drawing letter, without separators at their ends, blanks squeezed, decimals closed up."""
+    told = F.filter(F.split(text, "\n"), lambda line: line.rlike("(?i)[0-9Ø°RCDMX□■]"))
+    kept = F.transform(told, lambda line: F.trim(fold(line, [(_EDGES, ""), *_INNER])))
+    return F.array_join(F.filter(kept, lambda line: line != ""), "\n")
 
 
 def sanitize(text: Column) -> Column:
@@ -73,83 +73,97 @@ def replace_characters(text: Column, replacements: dict[str, str]) -> Column:
     return reduce(lambda t, kv: F.replace(t, F.lit(kv[0]), F.lit(kv[1])), replacements.items(), text)
 
 
-_BEFORE_TOLERANCE = r"(?=\s+0|\s*[-+±]|\s*$)"
-
+# ---- damaged numbers
+#
+# A text is cut once into numbers and what stands between them, by turns.  Each piece is then judged by its neighbours: a gap
+# between two numbers goes, becomes a point or stays; a number behind a sign gets back the point that it has lost.
 
-def _magnitudes(places: int, digits: str) -> list[tuple[str, str]]:
-    """``+1000`` and ``+0001`` for ``+0.001``: a lost point, read from either end."""
-    zeros = "0" * places
-    return [(rf"([+-])(?:([{digits}]){zeros}|{zeros}([{digits}]))(?![0-9.])", f"$10.{zeros[1:]}$2$3")]
-
-
-def _shifted_zero() -> list[tuple[str, str]]:
-    """``-0.0-1`` is a zero line and a tolerance run together: `` 0 -0.01``."""
-    out = [(rf"[-+]?0\.(0+)\s*{sign}\s*([1-9][0-9]?)(?![0-9])", f" 0 {to}0.$1$2") for sign, to in (("-", "-"), (r"\+", "+"))]
-    for places in (2, 3):
-        behind = rf"(?<=\.[0-9]{{{places}}})"
-        out += [(rf"{behind}\s*[-+]?0\s*{sign}\s*([1-9])(?![0-9])", f" 0 {to}0.{'0' * (places - 1)}$1") for sign, to in (("-", "-"), (r"\+", "+"))]
-    return out
-
-
-#: Digits of a nominal that blanks have cut apart, before a tolerance.
-_SPLIT_DIGITS = [
-    (rf"(?<![0-9.])([1-9])\s+([0-9])\s+([0-9]{{2}})(?![0-9]){_BEFORE_TOLERANCE}", "$1$2.$3"),
-    (rf"(?<![0-9.+\-±])([1-9][0-9]*)\s+([0-9]{{2}})(?![0-9.]){_BEFORE_TOLERANCE}", "$1.$2"),
-]
-#: A dash where the decimal point was: an integer, a dash and digits, with a tolerance behind.
-_DASH_POINT = [
-    (r"(?<![0-9.])([1-9][0-9]*)\s*[-~_]\s*0([0-9]+)(?![0-9.])", "$1.0$2"),
-    (r"(?<![0-9.])([1-9][0-9]*)\s*[-~_]\s*([0-9]+)(?![0-9.])(?=\s*[+\-±]|\s+0(?:\.0*)?\s*[-+])", "$1.$2"),
-    (r"(?<![0-9.])([1-9][0-9]*)\s*[~_]\s*([0-9]+)(?![0-9.])", "$1.$2"),
-]
+_PIECE = rf"({NUM}|[^0-9]+)"
+_WHOLE, _DECIMAL = "^[0-9]+$", r"^[0-9]+\.[0-9]+$"
+#: A letter where a zero belongs: before a point, behind one, or alone behind a sign.
+_ZERO_LETTER = r"(?<![A-Za-z0-9_])[oO](?=\.)|(?<=[0-9]\.)[oO](?=[0-9])|(?<=[+-])[oO](?![A-Za-z0-9_])"
 #: A sign behind its number.
-_TRAILING_SIGN = [(rf"(?<![0-9.])({NUM})\s*([-+])(?=\s|$)", "$2$1")]
-_LETTER_O = [
-    (r"(?<![A-Za-z0-9_])[oO]\.", "0."),
-    (r"([0-9]+)\.[oO]([0-9]+)", "$1.0$2"),
-    (r"([+-])[oO](?![A-Za-z0-9_])", "$10"),
-    (r"([+-])[oO]\.", "$10."),
-]
-_POINTS = [
-    (r"([0-9]+):([0-9]+)", "$1.$2"),
-    (r"-\s*8\.", "-0."),
-    (r"([0-9]+)\s*\.\s*0\s+([0-9]+)", "$1.0$2"),
-    (r"([0-9]+)\s*\.\s*([0-9]+)", "$1.$2"),
-]
-_JOINS = [
-    (rf"(?<![0-9.])([1-9])\s+([0-9]\.[0-9]+)(?![0-9]){_BEFORE_TOLERANCE}", "$1$2"),
-    _SPLIT_DIGITS[0],
-    # integers cut by blanks before a tolerance; a lone zero is a zero line and stays
-    (r"(?<![0-9.])([0-9]+)(?<!^0)[ ]+(?=(?!0[ ]*[-+])[0-9]+(?:[ ]+[0-9]+)*\s*(?:±|[-+]\s*[0-9]))(?<![.][0-9]{1,6}[ ])", "$1"),
-    # "4.0 4" is 4.04, unless a sign stands before or the second part is a zero line
-    (r"(?<![0-9.+\-±])(?<![+\-±] )([0-9]+\.[0-9]*)\s+([1-9][0-9]{0,2})(?![0-9.])(?=\s*[-+]|\s*$|\s+0)", "$1$2"),
-]
+_LATE_SIGN = rf"(?<![0-9.])({NUM})\s*([-+])(?=\s|$)"
+_SPELLING = [(_ZERO_LETTER, "0"), (r"(?<=[0-9]):(?=[0-9])", "."), (r"(?<=[0-9]\s{0,4}-\s{0,4})8(?=\.)", "0"), *_INNER[1:], (r"(?m)^°\s*", "0\n"), (r"\s+°(?=[0-9A-Za-z])", " 0"), (_LATE_SIGN, "$2$1")]
+#: Dashes and the like at the ends of a line lead to something on the sheet; a minus before a zero is a sign.
+_LEADER = r"^[-_~|^/=\s]+(?<!-(?=0))|[-_~|^/=\s]+$"
+#: Blanks inside a run of whole numbers that a tolerance follows; a zero at the start or before a sign is a zero line and stays apart.
+_RUN = r"(?<![.][0-9]{1,6})(?<=[0-9])(?<!^0)[ ]+(?=(?!0[ ]*[-+])[0-9]++(?:[ ]++[0-9]++)*+\s*+(?:±|[-+]\s*[0-9]))"
+
+
+def _gap(pieces: Column, here: Column, i: Column) -> Column:
+    """What becomes of a piece between two numbers: nothing, a point, or itself."""
+    at = lambda k: F.coalesce(F.get(pieces, i + k), F.lit(""))
+    left, right, before, behind, next_ = at(-1), at(1), F.when(i < 2, "").otherwise(at(-2)), at(2), at(3)
+    blank, apart = here.rlike("^[ \t]+$"), ~before.rlike(r"[-+±.]\s*$")
+    # is what follows a tolerance, a zero line or the end?
+    ends = lambda sep, number: sep.rlike(r"^\s*[-+±]") | sep.rlike(r"^\s+$") & F.startswith(number, F.lit("0")) | (F.trim(sep) == "") & (number == "")
+    closed = ends(behind, next_)
+    digit, pair = lambda x: x.rlike("^[1-9]$"), lambda x: x.rlike("^[0-9]{2}$")
+    # a digit, a digit and two decimals
+    first = digit(left) & right.rlike("^[0-9]$") & pair(next_) & behind.rlike("^[ \t]+$") & ends(at(4), at(5))
+    second = left.rlike("^[0-9]$") & pair(right) & before.rlike("^[ \t]+$") & digit(F.when(i < 3, "").otherwise(at(-3))) & closed
+    cut = left.rlike("^[1-9][0-9]*$") & pair(right) & apart & closed
+    more = left.rlike(_DECIMAL) & right.rlike("^[1-9][0-9]{0,2}$") & apart & closed
+    tens = digit(left) & right.rlike(r"^[0-9]\.[0-9]+$") & ~before.rlike(r"\.$") & closed
+    # a dash where the point was
+    dash = here.rlike(r"^(?:-\s*|\s+-\s+|\s*[~_]\s*)$") & left.rlike("^[1-9][0-9]*$") & ~before.rlike(r"\.$") & right.rlike(_WHOLE)
+    signed = behind.rlike(r"^\s*[-+±]") | behind.rlike(r"^\s+$") & next_.rlike(r"^0(\.0*)?$") & at(4).rlike(r"^\s*[-+]")
+    dash &= right.rlike("^0[0-9]") | here.rlike("[~_]") | signed
+    return F.when(blank & (first | more | tens), "").when(blank & (second | cut) | dash, ".").otherwise(here)
+
+
+def _joined(text: Column) -> Column:
+    """Numbers that blanks have cut apart, or a dash instead of the point."""
+    pieces = F.regexp_extract_all(text, F.lit(_PIECE), F.lit(1))
+    return let(pieces, lambda p: F.array_join(F.transform(p, lambda x, i: F.when(x.rlike("^[0-9]"), x).otherwise(_gap(p, x, i))), ""))
+
+
+def _pointed(text: Column) -> Column:
+    """Tolerances that have lost their point.
+
+    Behind a zero line (``0``, ``0.0``) a small whole number counts in the last
+    place of the zero, or of the nominal if the zero has none.  Elsewhere one
+    digit and as many zeros as the other tolerances have places stands for that
+    place, read from either end.
+    """
+    digits = F.when(text.rlike(r"0\.00[0-9]"), 3).when(text.rlike(r"0\.0[0-9]"), 2).otherwise(0)
+
+    def body(p: Column) -> Column:
+        at = lambda i, k: F.when(i + k < 0, "").otherwise(F.coalesce(F.get(p, F.greatest(i + k, F.lit(0))), F.lit("")))
+        places = lambda x: F.length(F.regexp_extract(x, r"\.([0-9]+)$", 1))
+
+        def zeros(i: Column) -> Column:
+            """Of the number at ``i``, if it is a tolerance behind a zero line: how many zeros follow its point; else null."""
+            number, sign, zero, nominal = at(i, 0), at(i, -1), at(i, -2), at(i, -4)
+            own, outer = places(zero), places(nominal)
+            small = sign.rlike(r"^\s*[-+]\s*$") & zero.rlike(r"^0(\.0+)?$") & at(i, -3).rlike(r"^\s*[-+]?$|\s[-+]?$|^$")
+            return F.when(small & (own > 0) & number.rlike("^[1-9][0-9]?$"), own).when(small & (own == 0) & number.rlike("^[1-9]$") & outer.isin(2, 3) & at(i, -3).rlike(r"^\s*[-+]?$"), outer - 1)
+
+        def one(x: Column, i: Column) -> Column:
+            own, next_, later = zeros(i), zeros(i + 2), zeros(i + 3)
+            signed = at(i, -1).rlike(r"[-+]$")
+            bare = F.replace(x, F.lit("0"), F.lit(""))
+            lost = signed & x.rlike("^(?:0+[1-9]|[1-9]0+)$") & (F.length(x) == digits + 1) & bare.rlike("[123458]") & ((digits == 3) | bare.isin("1", "2", "5"))
+            number = F.when(own.isNotNull(), F.concat(F.lit("0."), F.repeat(F.lit("0"), own), x)).when(next_.isNotNull(), "0").when(lost, F.concat(F.lit("0."), F.repeat(F.lit("0"), digits - 1), bare)).otherwise(x)
+            sep = F.when(zeros(i + 1).isNotNull(), F.concat(F.lit(" "), F.trim(x))).when(later.isNotNull(), F.regexp_replace(x, r"^(.*?)\s*[-+]?$", "$1 ")).otherwise(x)
+            return F.when(x.rlike("^[0-9]"), number).otherwise(sep)
+
+        return F.array_join(F.transform(p, one), "")
+
+    return let(F.regexp_extract_all(text, F.lit(_PIECE), F.lit(1)), body)
 
 
 def repair_numbers(text: Column) -> Column:
     """Undoes what scanning does to numbers: lost points, cut digits, signs behind, letters for zeros."""
-
-    def magnitudes(t: Column) -> Column:
-        return F.when(t.rlike(r"0\.00[0-9]"), fold(t, _magnitudes(3, "123458"))).when(t.rlike(r"0\.0[0-9]"), fold(t, _magnitudes(2, "125"))).otherwise(t)
-
-    def rest(t: Column) -> Column:
-        t = F.array_join(F.transform(F.split(fold(t, _shifted_zero()), "\n"), _strip_leader), "\n")
-        return fold(t, [(r"(^|\n)°\s*", "$10\n"), (r"\s+°(?=[0-9A-Za-z])", " 0")] + _LETTER_O + _POINTS + _JOINS)
-
-    return let(let(fold(text, _SPLIT_DIGITS + _DASH_POINT + _TRAILING_SIGN), magnitudes), rest)
-
-
-def _strip_leader(line: Column) -> Column:
-    """A dash at the start of a line is a leader unless a signed decimal stands there; dashes at its end always are."""
-    line = F.trim(line)
-    led = F.regexp_replace(line, r"^(?:[-_~|^/=]+\s*)+(?=[^0-9]|[1-9]|$)", "")
-    return F.regexp_replace(F.when(line.rlike(r"^[+-]0\.[0-9]"), line).otherwise(led), r"\s*[-_~|^/=]+$", "")
+    led = lambda t: F.array_join(F.transform(F.split(t, "\n"), lambda line: F.regexp_replace(line, _LEADER, "")), "\n")
+    return let(let(let(fold(text, _SPELLING), _joined), _pointed), lambda t: F.regexp_replace(led(t), _RUN, ""))
 
 
 def clean_ocr(text: Column) -> Column:
     """:func:`sanitize`, then leader dashes and cut numbers line by line."""
-    lines = F.transform(F.split(sanitize(text), "\n"), lambda s: fold(_strip_leader(s), _LETTER_O + _SPLIT_DIGITS + _DASH_POINT[:1]))
-    return F.array_join(F.filter(lines, lambda s: s != ""), "\n")
+    one = lambda line: _joined(fold(line, [(_LEADER, ""), (_ZERO_LETTER, "0")]))
+    return F.array_join(F.filter(F.transform(F.split(sanitize(text), "\n"), one), lambda line: line != ""), "\n")
 
 
 def join_cad_tokens(text: Column) -> Column:

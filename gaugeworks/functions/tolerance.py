@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.columns import free_name
+
 # Tolerance by number of decimals, and ISO 2768-1 bands (upper bound in mm; fine, medium, coarse).
 DECIMALS = {0: 0.2, 1: 0.1, 2: 0.05, 3: 0.01, 4: 0.005, 5: 0.001}
 BANDS = [(3.0, 0.05, 0.1, 0.2), (6.0, 0.05, 0.1, 0.3), (30.0, 0.1, 0.2, 0.5), (120.0, 0.15, 0.3, 0.8), (400.0, 0.2, 0.5, 1.2), (float("inf"), 0.3, 0.8, 2.0)]
@@ -70,9 +72,14 @@ def band_table(spark: SparkSession) -> DataFrame:
 
 
 def band_join(df: DataFrame, size_col: str, grade: str, spark: SparkSession) -> DataFrame:
-    """``df`` with ``tol`` from the band table: a range join against a broadcast of six rows."""
-    bands = F.broadcast(band_table(spark).where(F.col("grade") == (grade if grade in GRADES else "m")))
-    return df.join(bands, (F.abs(F.col(size_col)) > F.col("lo")) & (F.abs(F.col(size_col)) <= F.col("hi"))).drop("grade", "lo", "hi")
+    """``df`` with ``tol`` from the band table: a range join against a broadcast of six rows.
+
+    A null size has no tolerance; a column ``tol`` is replaced.
+    """
+    lo, hi = free_name(df, "lo"), free_name(df, "hi")
+    bands = band_table(spark).where(F.col("grade") == (grade if grade in GRADES else "m")).select(F.col("lo").alias(lo), F.col("hi").alias(hi), "tol")
+    size = F.abs(F.col(size_col))
+    return df.drop("tol").join(F.broadcast(bands), (size > F.col(lo)) & (size <= F.col(hi)), "left").drop(lo, hi)
 
 
 def plausible(tolerance: Column, nominal: Column) -> Column:
