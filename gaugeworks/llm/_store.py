@@ -38,6 +38,15 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def text_bytes(df: DataFrame, text_col: str) -> int:
     """UTF-8 bytes of a text column, in one aggregate."""
     return df.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0

@@ -6,6 +6,8 @@ A word is a maximal run of bytes other than ASCII white space, that is
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -151,6 +153,27 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
         start = end
 
 
+def release() -> None:
+    """Gives freed memory back to the system: Python workers stay between stages and would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(run):
+    """``run`` for ``mapInArrow``, releasing memory when its task ends."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The numbers start, start + 1, ... of each range, one range after the other."""
     total = int(counts.sum())

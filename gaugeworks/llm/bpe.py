@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeworks.llm._words import ranges, slices, span_hashes
+from gaugeworks.llm._words import ranges, slices, span_hashes, texts_of, tidy
 
 #: Each byte b is the character U+0100 + b in the model.
 SHIFT = 0x100
@@ -154,7 +154,11 @@ class RegexSplitter:
 
 
 class Codec:
-    """Encodes and decodes Arrow columns.  ``most`` pre-tokens are remembered at a time, by a 64-bit hash."""
+    """Encodes and decodes Arrow columns.
+
+    ``most`` pre-tokens are remembered at a time, found by a 64-bit hash; their
+    bytes are compared, so pre-tokens of one hash never share their ids.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 150_000):
         tokens = sorted(ranks, key=ranks.__getitem__)
@@ -176,14 +180,23 @@ class Codec:
     def _forget(self) -> None:
         self.known: dict[int, int] = {}
         self.known_ids, self.known_start, self.known_size = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.raw, self.raw_start, self.raw_size = np.empty(0, np.uint8), np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def _learn(self, keys: list[int], new: list[bytes]) -> None:
+    def _pieces(self, new: list[bytes]) -> list[list[int]]:
+        """The model's pieces of each pre-token."""
         size = np.array([len(d) for d in new])
         joined, ends = _characters(b"".join(new)), np.cumsum(size)
         found = self.model.encode([joined[i:j] for i, j in zip((ends - size).tolist(), ends.tolist(), strict=True)], num_threads=1)
         if self.whole:
             found = [[self.whole[raw] + 1] if raw in self.whole else got for raw, got in zip(new, found, strict=True)]
+        return found
+
+    def _learn(self, keys: list[int], new: list[bytes]) -> None:
+        found, size = self._pieces(new), np.array([len(d) for d in new], np.int64)
         count = np.array([len(x) for x in found], np.int64)
+        self.raw_start = np.append(self.raw_start, len(self.raw) + np.cumsum(size) - size)
+        self.raw_size = np.append(self.raw_size, size)
+        self.raw = np.append(self.raw, np.frombuffer(b"".join(new), np.uint8))
         self.known.update(zip(keys, range(len(self.known), len(self.known) + len(keys)), strict=True))
         self.known_start = np.append(self.known_start, len(self.known_ids) + np.cumsum(count) - count)
         self.known_size = np.append(self.known_size, count)
@@ -200,7 +213,11 @@ class Codec:
             self._learn([keys[i] for i in new], [data[i:j].tobytes() for i, j in zip(start[at[new]].tolist(), end[at[new]].tolist(), strict=True)])
         place = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[which] if len(keys) else np.empty(0, np.int64)
         count = self.known_size[place]
-        flat = self.ids[self.known_ids[ranges(self.known_start[place], count)] - 1]
+        pieces = self.known_ids[ranges(self.known_start[place], count)]
+        if not (np.array_equal(self.raw_size[place], end - start) and np.array_equal(self.raw[ranges(self.raw_start[place], end - start)], data[ranges(start, end - start)])):
+            found = self._pieces([data[i:j].tobytes() for i, j in zip(start.tolist(), end.tolist(), strict=True)])  # two pre-tokens of one hash
+            count, pieces = np.array([len(x) for x in found], np.int64), np.array([i for x in found for i in x], np.int32)
+        flat = self.ids[pieces - 1]
         offsets = np.concatenate(([0], np.cumsum(count)))[np.concatenate(([0], np.cumsum(per_text)))]
         return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
 
@@ -243,14 +260,14 @@ def _added(df: DataFrame, name: str, kind: T.DataType, over: str, make) -> DataF
             for batch in slices(whole, over):
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], make(batch.column(over))], [*names, name])
 
-    return df.mapInArrow(run, T.StructType([*[df.schema[c] for c in names], T.StructField(name, kind)]))
+    return df.mapInArrow(tidy(run), T.StructType([*[df.schema[c] for c in names], T.StructField(name, kind)]))
 
 
 def encode(df: DataFrame, vocabulary_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``df`` with the token ids of each text as ``ids_col array<int>``.
 
     Null and empty texts give an empty list.  A column already named
-    ``ids_col`` is replaced.
+    ``ids_col`` is replaced; other columns stay as they are.
     """
     data = vocabulary(vocabulary_path)
     return _added(df, ids_col, T.ArrayType(T.IntegerType()), text_col, lambda column: codec(data, pattern).encode(column))
@@ -267,7 +284,26 @@ def decode(df: DataFrame, vocabulary_path: str, pattern: str, ids_col: str = "id
                 made = codec(data, pattern).decode(batch.column(ids_col))
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], made.cast(pa.binary())], [*names, bytes_col])
 
-    return df.mapInArrow(run, T.StructType([*[df.schema[c] for c in names], T.StructField(bytes_col, T.BinaryType())]))
+    return df.mapInArrow(tidy(run), T.StructType([*[df.schema[c] for c in names], T.StructField(bytes_col, T.BinaryType())]))
+
+
+def round_trip(df: DataFrame, vocabulary_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", same_col: str = "round_trip") -> DataFrame:
+    """``df`` with the ids of each text, and whether they decode to its bytes again (of a null text, to none), in one pass.
+
+    Columns of these two names are replaced.
+    """
+    data, names = vocabulary(vocabulary_path), [c for c in df.columns if c not in (ids_col, same_col)]
+
+    def run(batches):
+        for whole in batches:
+            for batch in slices(whole, text_col):
+                both = codec(data, pattern)
+                ids = both.encode(batch.column(text_col))
+                same = [x == y for x, y in zip(both.decode(ids).to_pylist(), texts_of(batch.column(text_col)), strict=True)]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], ids, pa.array(same, pa.bool_())], [*names, ids_col, same_col])
+
+    schema = T.StructType([*[df.schema[c] for c in names], T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField(same_col, T.BooleanType())])
+    return df.mapInArrow(tidy(run), schema)
 
 
 def id_text(lists: pa.ListArray) -> list[bytes]:
@@ -310,4 +346,4 @@ def round_trip_digests(df: DataFrame, vocabulary_path: str, pattern: str, id_col
                 )
 
     own = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return own.mapInArrow(tidy(run), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
