@@ -4,19 +4,27 @@ A document is the multiset of its five-word shingles; two documents are linked
 if the weighted Jaccard similarity of their multisets, sum of minima over sum
 of maxima, is at least 0.8.  Steps:
 
-1. Every text gets a 128-bit digest of its word hashes; equal texts collapse to the smallest
-   id by a partial aggregate, so a hot group of copies costs a row per task.
-2. Distinct texts get a BagMinHash signature (Ertl 2018): per shingle and
-   dyadic weight interval a Poisson process, its points falling to random
-   signature slots; the position of a point inside its interval is settled by
-   splitting the interval, and only points below the shingle's weight count.
-   Each slot keeps its first point, so P(slots equal) is the similarity.
-3. The signature is banded; texts that share a band meet the smallest id of the
-   bucket, not each other.
-4. Per such centre the multisets are compared exactly, first with the centre
-   and then, those that the centre does not take in, with all others met there.  Large groups are cut into blocks
-   of bounded bytes and compared block by block.
-5. Links become classes by connected components.
+1. Every text gets two 64-bit hashes; rows of equal texts collapse to the
+   smallest id by a partial aggregate, so a hot group of copies costs a row per task.
+2. Texts get a BagMinHash signature (Ertl 2018): the weight axis of a shingle
+   is cut into dyadic intervals, each with a Poisson process whose points fall
+   to random signature slots; where in its interval a point lies is settled by
+   halving the interval, and a point goes as soon as its half begins above the
+   shingle's weight.  Each slot keeps its first point, so P(slots equal) is the
+   similarity.  Points past the last slot's first point need not be drawn: they
+   are drawn up to a horizon, which is moved on only while a slot is free.
+3. The signature is banded; texts that share a band meet the smallest node of
+   the bucket, its centre, not each other.
+4. Each member is compared with its centre exactly, as a stream: what is held is
+   the centre and a batch.  Members of one centre are dealt to several tasks by
+   their bytes, so the work is linear in them however large the group.
+5. Links so far become components.  Inside a group only members whose component
+   is not their centre's are still open.  They are compared with the members of
+   other components, block by block; as 1 - similarity is a metric, a member
+   whose similarity to the centre differs by more than 1 - threshold is no
+   candidate.  No link is lost: every two members of a bucket are compared,
+   or known to be of one class, or known to be too far apart.
+6. The further links join the components.
 
 With 24 bands of 5 rows a pair at exactly 0.8 shares no bucket with
 probability 7e-5, and one at 0.9 with 1e-9.
@@ -28,16 +36,15 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.llm._store import settle
-from gaugeworks.llm._words import Words, mix, ranges, slices, window_hashes
+from gaugeworks.llm._store import fresh, settle
+from gaugeworks.llm._words import Words, mix, ranges, slices, tidy, window_hashes
 from gaugeworks.llm.components import components
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 5
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES, BLOCK_ROWS = 1 << 20, 256
 
 
 def shingle_bags(column, width: int = SHINGLE) -> tuple[Words, list[tuple[np.ndarray, np.ndarray]]]:
@@ -62,6 +69,17 @@ def _uniform(h: np.ndarray) -> np.ndarray:
     return ((h >> np.uint64(11)).astype(np.float64) + 1.0) * 2.0**-53
 
 
+def _below(point: np.ndarray, h: np.ndarray, where: np.ndarray, low: np.ndarray, size: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The points that lie below their shingle's weight: a bit of the hash for each halving of the interval decides."""
+    begin, half, level = low[where], size[where] >> 1, 20
+    while len(half) and half.any():
+        begin = begin + half * ((h >> np.uint64(level)) & np.uint64(1)).astype(np.int64)
+        held = begin < bound[where]
+        point, h, where, begin, half = point[held], h[held], where[held], begin[held], half[held] >> 1
+        level += 1
+    return point, h, where
+
+
 def bag_minhash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, docs: int, slots: int) -> np.ndarray:
     """Signatures, ``docs`` x ``slots`` of uint64, of weighted sets given flat.
 
@@ -95,10 +113,9 @@ def bag_minhash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, docs:
             inside = x <= horizon[of[at]][:, None]
             h2 = mix(h[inside] ^ np.uint64(0xD6E8FEB86659FD93))
             where = np.broadcast_to(at[:, None], inside.shape)[inside]
-            spot = low[where] + (h2 >> np.uint64(20)).astype(np.int64) % size[where]
-            counts = spot < bound[where]
+            point, h2, where = _below(x[inside], h2, where, low, size, bound)
             slot = of[where] * slots + (mix(h2) >> np.uint64(33)).astype(np.int64) % slots
-            slot, point, name = slot[counts], x[inside][counts], h2[counts]
+            name = h2
             np.minimum.at(first, slot, point)
             won = first[slot] == point
             ident[slot[won]] = name[won]
@@ -122,22 +139,14 @@ def _band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def _signer(bands: int, rows: int, width: int):
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 1 << 19):
                 words, bags = shingle_bags(batch.column("text"), width)
                 sizes = np.array([len(b[0]) for b in bags], np.int64)
                 doc = np.repeat(np.arange(len(bags)), sizes)
                 keys = _band_keys(bag_minhash(doc, np.concatenate([b[0] for b in bags]), np.concatenate([b[1] for b in bags]), len(bags), bands * rows), bands, rows)
                 offsets = np.arange(len(bags) + 1, dtype=np.int32) * bands
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("id"),
-                        pa.array([xxhash.xxh3_128_digest(words.hashes[i:j].tobytes()) for i, j in zip(words.bounds[:-1], words.bounds[1:], strict=True)], pa.binary()),
-                        pa.array(sizes),
-                        pa.array(np.diff(words.offsets)),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1))),
-                    ],
-                    ["id", "digest", "n_shingles", "n_bytes", "bands"],
-                )
+                columns = [batch.column("id"), batch.column("h1"), batch.column("h2"), pa.array(sizes), pa.array(np.diff(words.offsets)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1)))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "h1", "h2", "n_shingles", "n_bytes", "bands"])
 
     return run
 
@@ -179,96 +188,158 @@ def _overlaps(column: np.ndarray, bound: np.ndarray, df: np.ndarray, rows: np.nd
         yield block, out
 
 
-def link_sets(sets: list[np.ndarray], threshold: float, centre: int) -> np.ndarray:
-    """Per set the first one of its class, by Jaccard links of at least ``threshold`` inside this list.
+def _similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted sets; 0 if one is empty."""
+    if not len(a) or not len(b):
+        return 0.0
+    at = np.searchsorted(a, b)
+    at[at == len(a)] = 0
+    both = int((a[at] == b).sum())
+    return both / (len(a) + len(b) - both)
 
-    Sets that link with the centre need no other link.  Of the rest, one whose
-    elements outside all other sets exceed the share that a link allows is done.
-    """
-    n = len(sets)
-    parent = list(range(n))
 
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
+def _to_centre(width: int):
+    """Rows sorted by centre and block, the centre's own text first: each other row's similarity to it."""
+
+    def run(batches):
+        mid = np.empty(0, np.uint64)
+        for whole in batches:
+            for batch in slices(whole, "text", 1 << 19):
+                _, bags = shingle_bags(batch.column("text"), width)
+                first = np.array(batch.column("lead").to_pylist(), bool)
+                near = np.zeros(len(bags))
+                for i, bag in enumerate(bags):
+                    own = occurrences(bag)
+                    if first[i]:
+                        mid = own
+                    else:
+                        near[i] = _similarity(mid, own)
+                yield pa.RecordBatch.from_arrays([batch.column("centre"), batch.column("node"), batch.column("n_bytes"), pa.array(near)], ["centre", "node", "n_bytes", "near"]).filter(pa.array(~first))
+
+    return run
 
-    def join(i: int, j: int) -> None:
-        i, j = root(i), root(j)
-        parent[max(i, j)] = min(i, j)
 
+def link_sets(sets: list[np.ndarray], left: np.ndarray, near: np.ndarray, root: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Pairs of places, one of them in ``left``, of different roots that are linked; ``near`` is the similarity to a common centre."""
     size = np.array([len(x) for x in sets], np.int64)
-    mid = sets[centre]
-    rest = []
-    for i, own in enumerate(sets):
-        if i == centre or not len(own) or not len(mid):
-            continue
-        at = np.searchsorted(mid, own)
-        at[at == len(mid)] = 0
-        both = int((mid[at] == own).sum())
-        if both >= threshold * (len(own) + len(mid) - both):
-            join(i, centre)
-        else:
-            rest.append(i)
-    if len(rest) > 1 or rest and n > 2:
-        _, column, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        bound = np.concatenate(([0], np.cumsum(size)))
-        shared = np.add.reduceat(np.append(df[column] > 1, False).astype(np.int64), np.minimum(bound[:-1], len(column)))
-        rows = np.array([i for i in rest if shared[i] >= threshold * size[i]], np.int64)
-        for block, both in _overlaps(column, bound, df, rows) if len(rows) else ():
-            near = both >= threshold * (size[block][:, None] + size[None, :] - both)
-            near &= both > 0
-            for i, j in zip(*np.nonzero(near), strict=True):
-                join(int(block[i]), int(j))
-    return np.array([root(i) for i in range(n)])
+    _, column, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    bound = np.concatenate(([0], np.cumsum(size)))
+    shared = np.add.reduceat(np.append(df[column] > 1, False).astype(np.int64), np.minimum(bound[:-1], len(column)))
+    rows = left[shared[left] >= threshold * size[left]]  # elements that no other set has may not exceed the share that a link allows
+    out = []
+    for block, both in _overlaps(column, bound, df, rows) if len(rows) else ():
+        hit = both >= threshold * (size[block][:, None] + size[None, :] - both)
+        hit &= (both > 0) & (root[block][:, None] != root[None, :]) & (np.abs(near[block][:, None] - near[None, :]) <= 1 - threshold + 1e-9)
+        out += [(int(block[i]), int(j)) for i, j in zip(*np.nonzero(hit), strict=True)]
+    return out
+
+
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _linker(threshold: float, width: int):
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("id", "ascending")])
-        ids = table.column("id").to_numpy()
+        first = np.array(table.column("first").to_pylist(), bool)
+        if not first.any() or first.all():
+            return _LINKS.empty_table()
         _, bags = shingle_bags(table.column("text"), width)
-        centre = int(np.searchsorted(ids, table.column("centre")[0].as_py()))
-        roots = link_sets([occurrences(b) for b in bags], threshold, centre)
-        linked = roots != np.arange(len(ids))
-        return pa.table({"a": ids[linked], "b": ids[roots[linked]]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        root, near = table.column("root").to_numpy(), table.column("near").to_numpy()
+        found = link_sets([occurrences(b) for b in bags], np.flatnonzero(first), near, root, threshold)
+        pairs = np.unique(np.array([(root[i], root[j]) for i, j in found], np.int64).reshape(-1, 2), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]}, schema=_LINKS)
 
     return run
 
 
+MOST_CLASHES = 10_000
+
+
+def _node(clashes: list[int]) -> Column:
+    """The number of a text: its first hash, or both together where that one is not unique."""
+    return F.when(F.col("h1").isin(clashes), F.xxhash64("h2", "h1")).otherwise(F.col("h1")) if clashes else F.col("h1")
+
+
+def _hashed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return df.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
+
+
+def _classes(own: DataFrame, threshold: float, width: int, bands: int, rows: int, block_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """The signed rows ``(id, h1, h2, n_shingles)``, and a row per different text with shingles: ``(h1, h2, id, class_id)``."""
+    signed = settle(own.mapInArrow(tidy(_signer(bands, rows, width)), "id long, h1 long, h2 long, n_shingles long, n_bytes long, bands array<long>"), "signed")
+    full = signed.where("n_shingles > 0 and id is not null")
+    reps = settle(full.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("n_bytes").alias("n_bytes"), F.first("bands").alias("bands")), "reps")
+    # two texts with one first hash: some n^2 / 2^65, none below 10^9 texts
+    clashes = [r[0] for r in reps.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1").limit(MOST_CLASHES + 1).collect()]
+    if len(clashes) > MOST_CLASHES:
+        raise ValueError("too many texts for 64-bit numbers")
+    reps = reps.withColumn("node", _node(clashes))
+    banded = reps.select("node", "n_bytes", F.posexplode("bands").alias("band", "key"))
+    buckets = banded.groupBy("band", "key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
+    met = settle(banded.join(buckets, ["band", "key"]).where("node <> centre").select("centre", "node", "n_bytes").distinct(), "met")
+    wanted = met.select("node").union(met.select("centre")).distinct()
+    which = reps.join(wanted, "node", "left_semi").select("h1", "h2", "id")
+    texts = settle(own.where("id is not null").join(which, ["h1", "h2", "id"], "left_semi").select(_node(clashes).alias("node"), "text").dropDuplicates(["node"]), "texts")
+    blocks = met.groupBy("centre").agg(F.greatest(F.ceil(F.sum("n_bytes") / F.lit(float(block_bytes))), F.ceil(F.count("*") / F.lit(float(BLOCK_ROWS)))).cast("int").alias("n_blocks"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    spot = lambda n: F.pmod(F.xxhash64("node", F.lit(3)), F.col(n)).cast("int")
+    lead = blocks.select("centre", F.col("centre").alias("node"), F.lit(0).cast("long").alias("n_bytes"), upto("n_blocks").alias("block"), F.lit(True).alias("lead"))
+    tasks = met.join(blocks, "centre").select("centre", "node", "n_bytes", spot("n_blocks").alias("block"), F.lit(False).alias("lead")).unionByName(lead)
+    tasks = tasks.join(texts, "node").repartition("centre", "block").sortWithinPartitions("centre", "block", F.desc("lead"))
+    pairs = settle(tasks.mapInArrow(tidy(_to_centre(width)), "centre long, node long, n_bytes long, near double"), "pairs")
+    roots = components(pairs.where(F.col("near") >= threshold).select(F.col("centre").alias("a"), F.col("node").alias("b")))
+    # what is still open: members that are not of their centre's component
+    of_node, of_centre = roots.select("node", F.col("root").alias("rn")), roots.select(F.col("node").alias("centre"), F.col("root").alias("rc"))
+    known = pairs.join(of_node, "node", "left").join(of_centre, "centre", "left").select("centre", "node", "n_bytes", "near", F.coalesce("rn", "node").alias("root"), (F.coalesce("rn", "node") != F.coalesce("rc", "centre")).alias("open"))
+    known = settle(known, "open")
+    reach = F.when(F.col("open"), F.col("near"))
+    groups = known.groupBy("centre").agg(F.min(reach).alias("low"), F.max(reach).alias("high"), F.count("*").alias("n")).where("low is not null and n > 1").drop("n")
+    apart = 1 - threshold + 1e-9
+    left = known.join(groups, "centre").where(F.col("open") | (F.col("near") >= F.col("low") - apart) & (F.col("near") <= F.col("high") + apart)).drop("low", "high")
+    load = left.groupBy("centre").agg(F.ceil(F.sum("n_bytes") / F.lit(float(block_bytes))).cast("int").alias("n_blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
+    left = left.join(load, "centre")
+    columns = ["centre", "i", "j", "first", "node", "near", "root"]
+    one = left.where("open").withColumns({"i": spot("n_blocks"), "j": upto("n_blocks"), "first": F.lit(True)}).select(columns)
+    two = left.withColumns({"j": spot("n_blocks"), "i": upto("n_blocks"), "first": F.lit(False)}).select(columns)
+    more = settle(one.unionByName(two).join(texts, "node").groupBy("centre", "i", "j").applyInArrow(_linker(threshold, width), "a long, b long"), "more")
+    joined = components(more).select(F.col("node").alias("root"), F.col("root").alias("last"))
+    labels = reps.select("h1", "h2", "id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(joined, "root", "left")
+    labels = settle(labels.select("h1", "h2", "id", F.coalesce("last", "root").alias("label")), "labels")
+    least = labels.groupBy("label").agg(F.min("id").alias("class_id"))
+    # a table of its own, so that joins with it are between plain exchanges and a hot text is split
+    return signed, settle(labels.join(least, "label").select("h1", "h2", "id", "class_id"), "classes")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of ``df``: ``id``, ``class_id`` and ``kept``.
 
-    ``class_id`` is the smallest id that links reach, the row's own included;
-    ``kept`` holds where it equals the id (repeated rows of one id are all
-    kept or all not).  Words are as written.  Empty and null texts have no
-    shingles and link with nothing, not even each other; texts under ``width``
-    words are one shingle of all their words.  Rows with a null id come out in
-    a class of their own with ``class_id`` null and ``kept`` true.  Other
-    columns of ``df`` are not read.
+    Texts are linked, not ids: ``class_id`` is the smallest id of the texts that
+    links reach from the row's text, its own rows included, so rows of one id
+    with different texts may be in different classes.  ``kept`` holds where
+    ``class_id`` equals the id.  Words are as written.  Empty and null texts
+    have no shingles and link with nothing, not even each other; texts under
+    ``width`` words are one shingle of all their words.  Rows with a null id
+    come out in a class of their own with ``class_id`` null and ``kept`` true.
+    Other columns of ``df`` are not read.
     """
-    own = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = settle(own.mapInArrow(_signer(bands, rows, width), "id long, digest binary, n_shingles long, n_bytes long, bands array<long>"), "signed")
-    full = signed.where("n_shingles > 0 and id is not null")
-    copies = full.groupBy("digest").agg(F.min("id").alias("rep"))
-    reps = full.join(copies.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi").dropDuplicates(["id"])
-    banded = reps.select("id", "n_bytes", F.posexplode("bands").alias("band", "key"))
-    buckets = banded.groupBy("band", "key").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = banded.join(buckets, ["band", "key"]).select("centre", "id", "n_bytes").distinct()
-    met = settle(met, "met")
-    blocks = met.groupBy("centre").agg((F.sum("n_bytes") / F.lit(block_bytes) + 1).cast("int").alias("n_blocks"))
-    placed = met.join(blocks, "centre").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
-    # a group of one block is one task; of more, each pair of blocks is one, the centre goes to all
-    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
-    mine = placed.where("id <> centre").withColumn("other", other).select("centre", "id", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    lead = blocks.withColumn("i", other).withColumn("j", F.explode(F.sequence(F.col("i"), F.col("n_blocks") - 1))).select("centre", F.col("centre").alias("id"), "i", "j")
-    tasks = mine.unionByName(lead)
-    texts = own.where("id is not null and text is not null").join(reps.select("id", "digest"), "id", "left_semi").join(met.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    edges = tasks.join(texts, "id").groupBy("centre", "i", "j").applyInArrow(_linker(threshold, width), "a long, b long")
-    classes = components(edges)
-    # a table of its own, so that the join below is between two plain exchanges and a hot digest is split
-    by_digest = settle(copies.join(classes, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("root", "rep").alias("class_id")), "classes")
+    signed, classes = _classes(_hashed(df, id_col, text_col), threshold, width, bands, rows, block_bytes)
     alone = signed.where("n_shingles = 0 or id is null").select("id", F.col("id").alias("class_id"))
-    out = full.select("id", "digest").join(by_digest, "digest").select("id", "class_id").unionByName(alone)
+    full = signed.where("n_shingles > 0 and id is not null").select("id", "h1", "h2")
+    out = full.join(classes.select("h1", "h2", "class_id"), ["h1", "h2"]).select("id", "class_id").unionByName(alone)
     return out.withColumn("kept", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)))
+
+
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``df``, all columns, one for each class: that of the smallest id (of several rows with this id, the least by text hash and then by all columns).
+
+    Rows without words or without an id all stay.
+    """
+    _, classes = _classes(_hashed(df, id_col, text_col), threshold, width, bands, rows, block_bytes)
+    one = classes.where("id = class_id").groupBy("class_id").agg(F.min(F.struct("h1", "h2")).alias("h"))
+    text, key = F.col(text_col).cast("string"), F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("h1"), F.xxhash64(F.lit(1), F.col(text_col).cast("string")).alias("h2"))
+    mark, rank = fresh(df, "key"), fresh(df, "rank")
+    worded = F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)) & F.col(id_col).isNotNull()
+    wanted = one.select(F.struct(F.col("class_id").alias("id"), "h.h1", "h.h2").alias(mark))
+    order = Window.partitionBy(mark).orderBy(*[c for c in df.columns if c not in (id_col, text_col)] or [F.lit(0)])
+    some = df.where(worded).withColumn(mark, key).join(wanted, mark, "left_semi").withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1)
+    return some.select(*df.columns).unionByName(df.where(~worded))
