@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -31,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.llm._store import settle
-from gaugeworks.llm._words import slices, texts_of
+from gaugeworks.llm._words import slices, texts_of, tidy
 
 # The field names of both versions' header lines.
 FIELDS = {
@@ -39,6 +38,8 @@ FIELDS = {
     2: ["URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"],
 }
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: A field of our own beside ``WARC-Refers-To``, which names a record: the page of that record.
+PAGE_FIELD = "X-Refers-To-Page"
 LEAST_REVISIT, ARCHIVE_BYTES = 1000, 8 << 20
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # RFC 4122: names that are URLs
 
@@ -115,12 +116,22 @@ def _warc(fields: dict[str, str], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def convert(arc: bytes, refers: dict[str, str] | None = None) -> bytes:
-    """ARC to WARC.  ``refers`` maps the ``x-page-id`` of a page to that of the page which holds its payload."""
+@dataclass
+class Kept:
+    """The record that holds a payload for others: its page, URI and identifier."""
+
+    page: int
+    uri: str
+    record: str
+
+
+def convert(arc: bytes, refers: dict[str, Kept] | None = None) -> bytes:
+    """ARC to WARC.  ``refers`` says, by the identifier of a record, which record holds its payload; it becomes a revisit of that one."""
     refers, out = refers or {}, bytearray()
     for r in read_arc(arc):
         url, date = r.fields["URL"], r.fields["Archive-date"]
-        known = {"WARC-Record-ID": record_id(url, date, r.block), "WARC-Date": iso_date(date)}
+        name = record_id(url, date, r.block)
+        known = {"WARC-Record-ID": name, "WARC-Date": iso_date(date)}
         if url.startswith("filedesc://"):
             out += _warc({"WARC-Type": "warcinfo", **known, "WARC-Filename": url.removeprefix("filedesc://"), "Content-Type": "application/warc-fields"}, f"software: gaugeworks\r\nformat: WARC File Format 1.1\r\nconverted-from: ARC/{r.version}\r\n".encode())
             continue
@@ -130,12 +141,13 @@ def convert(arc: bytes, refers: dict[str, str] | None = None) -> bytes:
             out += _warc({"WARC-Type": "resource", **known, "WARC-Block-Digest": _sha1(r.block), "Content-Type": r.fields["Content-type"]}, r.block)
             continue
         known["Content-Type"] = "application/http; msgtype=response"
-        to = refers.get(http.get("x-page-id", ""))
+        to = refers.get(name)
         if to is None:
             out += _warc({"WARC-Type": "response", **known, "WARC-Block-Digest": _sha1(r.block)}, r.block)
         else:
             head = r.block[: len(r.block) - len(body)]
-            out += _warc({"WARC-Type": "revisit", **known, "WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": f"<urn:page:{to}>", "WARC-Block-Digest": _sha1(head)}, head)
+            refer = {"WARC-Refers-To": to.record, "WARC-Refers-To-Target-URI": to.uri, "WARC-Refers-To-Date": iso_date(date), PAGE_FIELD: str(to.page)}
+            out += _warc({"WARC-Type": "revisit", **known, "WARC-Profile": REVISIT_PROFILE, **refer, "WARC-Block-Digest": _sha1(head)}, head)
     return bytes(out)
 
 
@@ -168,12 +180,17 @@ def _archiver(date: str):
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "html", ARCHIVE_BYTES):
-                ids, urls, refers = (batch.column(c).to_pylist() for c in ("page_id", "url", "refers_to"))
-                records = [page_record(i, u, p, date) for i, u, p in zip(ids, urls, texts_of(batch.column("html")), strict=True)]
+                ids, urls, refers, links, payloads = *(batch.column(c).to_pylist() for c in ("page_id", "url", "refers_to", "refers_url")), texts_of(batch.column("html"))
+                records = [page_record(i, u, p, date) for i, u, p in zip(ids, urls, payloads, strict=True)]
+                kept = {}
+                for own, to, link, payload in zip(records, refers, links, payloads, strict=True):
+                    if to is not None:  # the record there has this payload too, so its identifier follows from its page and URL
+                        other = page_record(to, link, payload, date)
+                        kept[record_id(own.fields["URL"], date, own.block)] = Kept(to, other.fields["URL"], record_id(other.fields["URL"], date, other.block))
                 version = 1 + (ids[0] or 0) % 2  # both versions are written
                 name = f"pages-{ids[0]}-{len(ids)}"
                 legacy = write_arc(records, name + ".arc", date, version)
-                made = convert(legacy, {str(i): str(r) for i, r in zip(ids, refers, strict=True) if r is not None and i is not None})
+                made = convert(legacy, kept)
                 yield pa.RecordBatch.from_arrays([pa.array([name + ".warc"]), pa.array([made], pa.binary())], ["name", "content"])
 
     return run
@@ -191,12 +208,11 @@ def _reader(batches):
                 digest = base64.b32decode(r.fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
                 if kind == "response" and hashlib.sha1(body).hexdigest() != digest:
                     raise ValueError("a payload does not have its digest")
-                to = re.fullmatch(r"<urn:page:(-?\d+)>", r.fields.get("WARC-Refers-To", ""))
-                page = http.get("x-page-id")
-                rows.append((None if page is None else int(page), int(http["content-length"]), digest, kind, int(to[1]) if to else None, r.fields["WARC-Record-ID"], r.fields["WARC-Date"], r.fields["WARC-Target-URI"]))
+                page, to = http.get("x-page-id"), r.fields.get(PAGE_FIELD)
+                rows.append((None if page is None else int(page), int(http["content-length"]), digest, kind, None if to is None else int(to), r.fields["WARC-Record-ID"], r.fields.get("WARC-Refers-To"), r.fields["WARC-Date"], r.fields["WARC-Target-URI"]))
             if rows:
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "warc_date", "target_uri"])
+                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), *[pa.string()] * 4]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "refers_to_record", "warc_date", "target_uri"])
 
 
 def write_archives(pages: DataFrame, least_revisit: int = LEAST_REVISIT, date: str = "20260101000000") -> DataFrame:
@@ -204,19 +220,24 @@ def write_archives(pages: DataFrame, least_revisit: int = LEAST_REVISIT, date: s
 
     Of rows with equal payloads of ``least_revisit`` bytes or more the one with
     the largest ``page_id`` is kept as a response, the others revisit it; rows
-    that share this largest id are responses.  Payloads are found equal by
-    their digest; only digests that occur twice are joined, so a hot payload is
-    a single row on that side.  A null page has an empty payload; a row with a
-    null id is a response.  Other columns are not read.
+    that share this largest id are responses, and the one with the greatest URL
+    is referred to.  Rows of one id with different payloads are told apart.
+    Payloads are found equal by their digest; only digests that occur twice are
+    joined, so a hot payload is a single row on that side.  A null page has an
+    empty payload; a row with a null id is a response.  Other columns are not
+    read.
     """
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     payload = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
-    digested = own.select("page_id", F.sha2(payload, 256).alias("digest"), F.length(payload).alias("size")).where(F.col("size") >= least_revisit)
-    kept = settle(digested.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n"), "payloads")
-    revisits = digested.join(kept, "digest").where("page_id < last").groupBy("page_id").agg(F.max("last").alias("refers_to"))
-    return settle(own.join(revisits, "page_id", "left").select("page_id", "url", "html", "refers_to").mapInArrow(_archiver(date), "name string, content binary"), "archives")
+    keyed = own.withColumn("digest", F.when(F.length(payload) >= least_revisit, F.sha2(payload, 256)))
+    digested = keyed.where("digest is not null").select("page_id", "url", "digest")
+    kept = digested.groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
+    kept = settle(kept.select("digest", F.col("last.page_id").alias("refers_to"), F.col("last.url").alias("refers_url")), "payloads")
+    revisits = digested.select("page_id", "digest").join(kept, "digest").where("page_id < refers_to").distinct()
+    found = keyed.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to", "refers_url")
+    return settle(found.mapInArrow(tidy(_archiver(date)), "name string, content binary"), "archives")
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
     """``(name, content)`` -> a row per response or revisit record; payload digests are checked."""
-    return archives.select("content").mapInArrow(_reader, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, warc_date string, target_uri string")
+    return archives.select("content").mapInArrow(tidy(_reader), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, refers_to_record string, warc_date string, target_uri string")
