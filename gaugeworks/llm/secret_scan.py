@@ -1,12 +1,21 @@
 """Secrets in text: three fixed patterns and an assignment-aware lexer.
 
 The base patterns find assignments to five names, access keys and long
-hexadecimal runs.  The lexer adds literals: it cuts source and configuration
-syntax into (name, literal) pairs - ``name = "x"``, ``name: x``, ``"name": "x"``,
-``name := x``, ``name => x``, string concatenation, and ``other = name``, where
-the constant that ``name`` holds is handed on to ``other`` - and scores each
-literal by the sensitivity of the target name, its own look and length.
-Literals that reach the cut are spans of kind ``literal``.
+hexadecimal runs.  The lexer adds literals.  It reads source and configuration
+syntax into (names, parts) pairs:
+
+* targets: ``name =``, ``name:``, ``name :=``, ``name =>``, quoted and indexed
+  names (``"name":``, ``x["name"] =``), chains (``a = b = ...``),
+  ``<name>text</name>`` and ``key="name" value="..."``;
+* values: strings in any quote with escapes, triple-quoted strings over lines,
+  prefixes (``r"..."``), bare words, and sums of these by ``+`` or by standing
+  one behind the other;
+* a word that is the name of an earlier constant stands for it: its literals
+  are parts of the value, so ``other = name + "x"`` hands both on.
+
+A value is scored by the most sensitive of its target names and by the best
+look of its joined literals and of the constants in it.  If it reaches the cut,
+each of its literals is a span of kind ``literal``, whole, whatever its length.
 """
 
 from __future__ import annotations
@@ -20,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm._words import slices
+from gaugeworks.llm._words import slices, tidy
 
 # The three patterns; a match fails if what is named here is shorter.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -35,15 +44,21 @@ SENSITIVE = {
     "token": 2.5, "bearer": 2.5, "authkey": 2.5, "signingkey": 2.5, "encryptionkey": 2.5, "connectionstring": 2, "auth": 1.5, "pass": 1.5,
 }
 #: Shorter literals are not scored.
-CUT, LEAST_LITERAL = 4.0, 6
+CUT, LEAST_LITERAL, LEAST_WORD = 4.0, 6, 16
 
 # No bounds on lengths: a run of name characters is tried at its start only, parts that no name begins with apart, and nothing
-# that has been taken is given back, so the time stays linear.  A string holds escapes and ends on its line.
+# that has been taken is given back, so the time stays linear.
 _NAME = r"(?<![A-Za-z0-9_.\-])(?:[.\-]++|[0-9][A-Za-z0-9_]*+(?=[.\-]))*+(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*+)"
-_TEXT = "|".join(rf"{q}[^{q}\n\\]*+(?:\\.[^{q}\n\\]*+)*+{q}" for q in "\"'`")
-_PAIR = re.compile(rf"""(?P<quote>["']?){_NAME}(?P=quote)\x20*+(?::=|=>|[:=])\x20*+(?P<value>(?:{_TEXT})(?:\x20*+\+\x20*+(?:{_TEXT}))*+|[A-Za-z0-9+/_.=\-]++)""")
-_STRING = re.compile(_TEXT)
-_PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|changeme|example|placeholder|none|null|true|false|todo|your[-_].*|<.*>|\$\{.*\}|env.*)$")
+_OPERATOR = r"\x20*+(?::=|=>|=(?![=>~])|:(?!:))"
+_TARGET = re.compile(rf"""(?P<quote>["']?){_NAME}(?P=quote)\]?+{_OPERATOR}|<(?P<tag>[A-Za-z_][A-Za-z0-9_.\-]*+)>(?P<body>[^<>\n]++)</(?P=tag)>""")
+_CHAIN = re.compile(rf"(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*+){_OPERATOR}")
+_QUOTED = "|".join(rf"{q}[^{q}\n\\]*+(?:\\.[^{q}\n\\]*+)*+{q}" for q in "\"'`")
+_TRIPLE = "|".join(rf"{q}{q}{q}(?:[^{q}\\]++|\\.|{q}(?!{q}{q}))*+{q}{q}{q}" for q in "\"'")
+_STRING = re.compile(rf"(?:[rRbBfFuU]{{1,2}})?+(?:(?P<triple>{_TRIPLE})|(?P<plain>{_QUOTED}))", re.DOTALL)
+_BARE = re.compile(r"""[^\s"'`,;<>(){}\[\]]++""")
+_REFERENCE = re.compile(r"[A-Za-z_][A-Za-z_.]*")
+_SPACES, _JOINT = re.compile(r"[\x20\t]*+"), re.compile(r"[\x20\t]*+\+\s*+|(?=[\x20\t]*+[rRbBfFuU]{0,2}[\"'])[\x20\t]*+")
+_PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|changeme|example|placeholder|none|null|true|false|todo|your[-_].*|<.*>|\$\{.*\}|env.*|https?://.*)$")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -73,32 +88,85 @@ def look(value: str) -> float:
     return min(entropy / 2, 2.0) + 0.5 * (kinds > 1) + 0.5 * (re.search("[0-9]", value) is not None) - 1.5 * (" " in value)
 
 
+def _value(text: str, at: int, constants: dict[str, int]) -> tuple[list[tuple[int, int]], list[int], int]:
+    """The literals of the value that begins at ``at``, the values of the constants in it, and where it ends."""
+    parts: list[tuple[int, int]] = []
+    held: list[int] = []
+    while True:
+        at = _SPACES.match(text, at).end()
+        string = _STRING.match(text, at)
+        if string:
+            kind = "triple" if string["triple"] else "plain"
+            edge = 3 if string["triple"] else 1
+            parts.append((string.start(kind) + edge, string.end(kind) - edge))
+            at = string.end()
+        else:
+            word = _BARE.match(text, at)
+            if not word:
+                return parts, held, at
+            end = word.end()
+            while end > at and text[end - 1] in ".:!?":
+                end -= 1
+            raw = text[at:end]
+            if text[word.end() : word.end() + 1] not in ("(", "["):  # else it is a call or an index
+                if raw in constants:
+                    held.append(constants[raw])
+                elif raw and not (_REFERENCE.fullmatch(raw) and len(raw) < LEAST_WORD):
+                    parts.append((at, end))
+            at = word.end()
+        more = _JOINT.match(text, at)
+        if not more or not (more[0].strip() or string):
+            return parts, held, at
+        at = more.end()
+
+
 def literal_spans(text: str) -> list[tuple[int, int, str]]:
-    """Spans of literals that are assigned, at once or through a constant, to a sensitive name.
+    """Spans of literals that are assigned, at once or through constants, to a sensitive name.
 
-    The value of a pair is a string, a sum of strings, or a bare word; a bare
-    word that is the name of an earlier constant stands for that constant, and
-    the span is the constant's literal.  A name's last assignment counts.
+    A name's last assignment counts; a name that is assigned to itself keeps
+    what it had.  A bare word of letters alone, of fewer than ``LEAST_WORD``,
+    that is no constant is a reference to something unknown, not a literal.
     """
-    if "=" not in text and ":" not in text:
+    if "=" not in text and ":" not in text and "</" not in text:
         return []
-    constants: dict[str, tuple[str, list[tuple[int, int]]]] = {}
-    found, looks = set(), {}
-    for m in _PAIR.finditer(text):
-        raw, at = m["value"], m.start("value")
-        if raw[0] in "\"'`":
-            spans = [(at + s.start() + 1, at + s.end() - 1) for s in _STRING.finditer(raw)]
-            value = "".join(text[i:j] for i, j in spans)
-        elif raw in constants:
-            value, spans = constants[raw]
+    constants: dict[str, int] = {}
+    # of each value: its own literals, the values of constants in it, and the best look of any of them
+    own: list[list[tuple[int, int]]] = []
+    held: list[list[int]] = []
+    best: list[float] = []
+    looks: dict[str, float] = {}
+    marked: list[int] = []
+    at, label, label_end = 0, "", -1
+    while m := _TARGET.search(text, at):
+        if m["tag"]:
+            names, parts, inner, at = [m["tag"]], [m.span("body")], [], m.end()
         else:
-            value, spans = raw, [(at, at + len(raw))]
-        constants[m["name"]] = value, spans
-        weight = sensitivity(m["name"])
-        if weight and value not in looks:
+            names, at = [m["name"]], m.end()
+            while chain := _CHAIN.match(text, _SPACES.match(text, at).end()):
+                names.append(chain["name"])
+                at = chain.end()
+            parts, inner, at = _value(text, at, constants)
+            if names[0].lower() in ("value", "content") and label and not text[label_end : m.start()].strip(", \t\n\"'"):
+                names = [label]
+            elif names[0].lower() in ("key", "name") and len(parts) == 1:
+                label, label_end = text[slice(*parts[0])], at
+        value = "".join(text[i:j] for i, j in parts)
+        if value not in looks:
             looks[value] = look(value)
-        if weight and weight + looks[value] >= CUT:
-            found.update((i, j, "literal") for i, j in spans if j > i)
+        constants.update(dict.fromkeys(names, len(own)))
+        own.append([p for p in parts if p[1] > p[0]])
+        held.append(inner)
+        best.append(max([looks[value], *(best[k] for k in inner)]))
+        weight = max(map(sensitivity, names))
+        if weight and weight + best[-1] >= CUT:
+            marked.append(len(own) - 1)
+    found: set[tuple[int, int, str]] = set()
+    seen = set(marked)
+    while marked:
+        k = marked.pop()
+        found.update((i, j, "literal") for i, j in own[k])
+        marked += [x for x in held[k] if x not in seen]
+        seen.update(held[k])
     return sorted(found)
 
 
@@ -140,7 +208,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
                 yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array(c, pa.int64()) for c in columns[:4]], *[pa.array(c, pa.string()) for c in columns[4:]]], ["id", "n_assign", "n_access", "n_hex", "n_literal", "base_sha256", "spans"])
 
     own = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, n_assign long, n_access long, n_hex long, n_literal long, base_sha256 string, spans string")
+    return own.mapInArrow(tidy(run), f"id {df.schema[id_col].dataType.simpleString()}, n_assign long, n_access long, n_hex long, n_literal long, base_sha256 string, spans string")
 
 
 def redacted(df: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
@@ -153,4 +221,4 @@ def redacted(df: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> D
                 at = batch.schema.get_field_index(text_col)
                 yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy(run), df.schema)
