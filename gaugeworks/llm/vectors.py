@@ -3,18 +3,22 @@
 1. Equal vectors collapse to the smallest id (a partial aggregate), with their
    number; a vector that is null, zero or holds a null or non-finite number
    takes no part.
-2. Spherical k-means on a bounded sample (``sample_rows``, the smallest hashes of
-   the ids) gives the cells; the number of cells grows with the table.
+2. Spherical k-means on a bounded sample (the smallest hashes of the ids, 16 rows
+   a cell and ``LEAST_SAMPLE`` at least) gives the cells, which grow in number
+   with the table up to ``MOST_CELLS``; many cells are fitted in two levels.
 3. Every vector has a home cell and visits others.  For a partner b of a at the
    threshold, |a - b| is at most r = sqrt(2 - 2 threshold).  If a is at home with
    centroid c and b with d, then a prefers c, b prefers d, and the two margins
-   add up to (a - b)(c - d), at most r |c - d|; so one of them is at most half of
-   that.  A vector visits each cell whose centroid is within r |c - d| / 2 of its
-   own, a pair is found if either visits the other's home, and so no link can be
-   missed, whatever the vectors look like.  With ``sigmas`` the window is narrowed
-   to ``sigmas`` times r |c - d| / sqrt(dimensions), the spread of a margin under
-   a move by r in a random direction: faster, but vectors that lie mostly in few
-   directions lose links.
+   add up to t = (a - b)(c - d); so one of them is at most t / 2, and t is at
+   most r |c - d|.  A vector visits each cell that it prefers its own to by no
+   more than a window, and a pair is found if either visits the other's home.
+   With the window r |c - d| / 2 no link can be missed, but in many dimensions t
+   is far smaller.  So the window is fitted to the data: its width per pair of
+   cells is a number of standard deviations of t, by the covariance of the
+   sample, of its rows about their centroids, and of the differences of nearest
+   rows (whichever is largest along c - d); and this number is raised until at
+   least ``target`` of partners are found that are planted at the threshold, in
+   directions that occur in the sample.  ``target=1`` takes the exact bound.
 4. Home rows meet all rows of the cell in blocks of bounded size, by matrix
    products in double precision.  Links are counted per vector and turned into
    a spanning forest per block; pairs are never written out.
@@ -32,29 +36,118 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugeworks.llm._store import settle
+from gaugeworks.llm._words import tidy
 from gaugeworks.llm.components import components
 
-THRESHOLD, SAMPLE_ROWS, CELL_ROWS, MOST_CELLS, BLOCK = 0.9, 20_480, 256, 4096, 2048
-#: A window for ``sigmas`` that finds 0.998 of random pairs at a cosine of exactly 0.9 in 64 dimensions; not the default.
-SIGMAS = 1.5
+THRESHOLD, TARGET, CELL_ROWS, MOST_CELLS, BLOCK = 0.9, 0.999, 256, 16_384, 2048
+LEAST_SAMPLE, SAMPLE_A_CELL = 20_480, 16
+#: Up to so many cells are fitted at once.
+FLAT_CELLS = 512
+PLANTED, DRAWN = 4096, 4096
 
 
-def spherical_kmeans(unit: np.ndarray, k: int, rounds: int = 8, seed: int = 0) -> np.ndarray:
-    """``k`` unit centroids of unit rows; an empty cell takes a row that fits its own worst."""
-    draw = np.random.default_rng(seed)
+def _kmeans(unit: np.ndarray, k: int, rounds: int, draw: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """``k`` unit centroids of unit rows and each row's own; an empty cell takes a row that fits its own worst."""
     centres = unit[draw.choice(len(unit), k, replace=False)].copy()
-    for _ in range(rounds):
-        best, near = np.empty(len(unit), np.int64), np.empty(len(unit))
+    best, near = np.empty(len(unit), np.int64), np.empty(len(unit))
+    for step in range(rounds + 1):
         for i in range(0, len(unit), 4096):
             score = unit[i : i + 4096] @ centres.T
             best[i : i + 4096], near[i : i + 4096] = score.argmax(axis=1), score.max(axis=1)
+        if step == rounds:
+            break
         sums = np.zeros_like(centres)
         np.add.at(sums, best, unit)
         size = np.linalg.norm(sums, axis=1)
         empty = np.flatnonzero(size < 1e-9)
         sums[empty] = unit[np.argsort(near)[: len(empty)]]
         centres = sums / np.linalg.norm(sums, axis=1)[:, None]
-    return centres
+    return centres, best
+
+
+def spherical_kmeans(unit: np.ndarray, k: int, rounds: int = 8, seed: int = 0) -> np.ndarray:
+    """``k`` unit centroids of unit rows; more than ``FLAT_CELLS`` are fitted inside coarse cells, as many in each as its rows ask for."""
+    draw = np.random.default_rng(seed)
+    if k <= FLAT_CELLS:
+        return _kmeans(unit, k, rounds, draw)[0]
+    coarse = _kmeans(unit, math.isqrt(k), rounds, draw)[1]
+    out = []
+    for c in np.unique(coarse):
+        rows = unit[coarse == c]
+        out.append(_kmeans(rows, max(1, min(len(rows), round(k * len(rows) / len(unit)))), rounds, draw)[0])
+    return np.concatenate(out)
+
+
+class Window:
+    """Which cells a vector visits: those that it prefers its own to by no more than a margin.
+
+    ``deviations`` of None is the exact bound.
+    """
+
+    def __init__(self, centres: np.ndarray, radius: float, shapes: list[np.ndarray], deviations: float | None):
+        self.centres, self.radius, self.deviations = centres, radius, deviations
+        self.shapes = [] if deviations is None else [(centres @ s, np.einsum("ij,ij->i", centres @ s, centres)) for s in shapes]
+
+    def margin(self, cells: np.ndarray) -> np.ndarray:
+        """``cells`` x all cells."""
+        apart = np.sqrt(np.maximum(2 - 2 * self.centres[cells] @ self.centres.T, 0))
+        out = apart / 2
+        if self.deviations is not None:
+            spread = np.zeros_like(out)
+            for turned, own in self.shapes:
+                np.maximum(spread, own[cells][:, None] + own[None, :] - 2 * turned[cells] @ self.centres.T, out=spread)
+            out = np.minimum(out, self.deviations / 2 * np.sqrt(spread))
+        return out * self.radius + 1e-9  # for rounding
+
+    def visits(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The home of each row, and whether it visits each cell (rows x cells)."""
+        score = unit @ self.centres.T
+        home = score.argmax(axis=1)
+        cells, which = np.unique(home, return_inverse=True)
+        rows = np.arange(len(unit))
+        seen = score[rows, home][:, None] - score <= self.margin(cells)[which]
+        seen[rows, home] = True
+        return home, seen
+
+
+def fit_window(unit: np.ndarray, centres: np.ndarray, threshold: float = THRESHOLD, target: float = TARGET, seed: int = 0) -> Window:
+    """The narrowest window, from three standard deviations up, that finds ``target`` of planted partners; the exact bound if none does."""
+    radius = math.sqrt(max(0.0, 2 - 2 * threshold))
+    if target >= 1 or len(centres) < 2 or len(unit) < 3:
+        return Window(centres, radius, [], None)
+    draw = np.random.default_rng(seed)
+    rows = unit[draw.choice(len(unit), min(len(unit), DRAWN), replace=False)]
+    apart = rows[draw.permutation(len(rows))] - rows  # between any two
+    home = (rows @ centres.T).argmax(axis=1)
+    nearest = []
+    for i in range(0, len(rows), 512):
+        score = rows[i : i + 512] @ rows.T
+        score[np.arange(len(score)), np.arange(i, i + len(score))] = -2
+        nearest.append(rows[score.argmax(axis=1)] - rows[i : i + 512])
+    steps = [apart, rows - centres[home], np.concatenate(nearest)]
+    steps = [x[np.linalg.norm(x, axis=1) > 1e-9] for x in steps]
+    steps = [x / np.linalg.norm(x, axis=1)[:, None] for x in steps if len(x)]
+    shapes = [x.T @ x / len(x) for x in steps]
+    # partners at the threshold exactly: the hardest to find
+    a, b = [], []
+    for x in steps:
+        base, way = rows[draw.integers(0, len(rows), PLANTED)], x[draw.integers(0, len(x), PLANTED)]
+        way = way - np.einsum("ij,ij->i", way, base)[:, None] * base
+        size = np.linalg.norm(way, axis=1)
+        held = size > 1e-6
+        a.append(base[held])
+        b.append(threshold * base[held] + math.sqrt(1 - threshold**2) * way[held] / size[held][:, None])
+    a, b = np.concatenate(a), np.concatenate(b)
+    for deviations in (3.0, 3.5, 4.0, 5.0, 6.0, 8.0):
+        window = Window(centres, radius, shapes, deviations)
+        hits = 0
+        for i in range(0, len(a), 512):
+            (one, sees), (two, seen) = window.visits(a[i : i + 512]), window.visits(b[i : i + 512])
+            rows_ = np.arange(len(one))
+            hits += int((sees[rows_, two] | seen[rows_, one]).sum())
+        if hits >= target * len(a):
+            return window
+    return Window(centres, radius, [], None)
 
 
 def _unit(packed: list[bytes]) -> np.ndarray:
@@ -77,30 +170,25 @@ def _pack(batches):
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(packed, pa.binary())], ["id", "packed"])
 
 
-def _placer(centres: np.ndarray, reach: float):
-    gap = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 0)) * reach + 1e-9  # for rounding
+def _placer(window: Window):
+    width, step = window.centres.shape[1] * 8, max(64, min(2048, (4 << 20) // len(window.centres)))
 
     def run(batches):
         for whole in batches:
-            for first in range(0, whole.num_rows, 2048):
-                batch = whole.slice(first, 2048)
+            for first in range(0, whole.num_rows, step):
+                batch = whole.slice(first, step)
                 packed = batch.column("packed").to_pylist()
-                home, cells = [], []
-                fits = np.array([len(x) == centres.shape[1] * 8 for x in packed], bool)
-                if fits.any():
-                    score = _unit([x for x, f in zip(packed, fits, strict=True) if f]) @ centres.T
-                    own = score.argmax(axis=1)
-                    visit = score[np.arange(len(own)), own][:, None] - score <= gap[own]
-                    visit[np.arange(len(own)), own] = True
-                    found = iter(zip(own.tolist(), visit, strict=True))
-                for x, f in zip(packed, fits, strict=True):
-                    if f:
-                        h, v = next(found)
-                        home.append(h)
-                        cells.append(np.flatnonzero(v).astype(np.int32))
-                    else:  # another dimension: one cell of its own
-                        home.append(-len(x))
-                        cells.append(np.array([-len(x)], np.int32))
+                home, cells = np.empty(len(packed), np.int32), [None] * len(packed)
+                fits = np.flatnonzero([len(x) == width for x in packed])
+                if len(fits):
+                    own, seen = window.visits(_unit([packed[i] for i in fits]))
+                    home[fits] = own
+                    for i, v in zip(fits.tolist(), seen, strict=True):
+                        cells[i] = np.flatnonzero(v).astype(np.int32)
+                for i, x in enumerate(packed):
+                    if cells[i] is None:  # another dimension: one cell of its own
+                        home[i] = -len(x)
+                        cells[i] = np.array([-len(x)], np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("packed"), batch.column("n"), pa.array(home, pa.int32()), pa.array(cells, pa.list_(pa.int32()))], ["id", "packed", "n", "home", "cells"])
 
     return run
@@ -158,9 +246,12 @@ def _compare(threshold: float):
     return run
 
 
-def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, sigmas: float | None = None, sample_rows: int = SAMPLE_ROWS, cell_rows: int = CELL_ROWS, block: int = BLOCK) -> DataFrame:
+def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, target: float = TARGET, cell_rows: int = CELL_ROWS, block: int = BLOCK) -> DataFrame:
     """One row per row of ``df``: ``id, n_links, component_id, kept``.
 
+    Links found have a cosine of ``threshold`` at least; of partners at the
+    threshold a share of about ``target`` is found, nearer ones more surely, and
+    all with ``target=1``.
     ``n_links`` counts the other rows linked directly, ``component_id`` is the
     smallest id that links reach, ``kept`` holds where it is the own id.  A
     vector that takes no part has no links and is kept; so is a row with a null
@@ -169,18 +260,18 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     columns are not read.
     """
     own = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(T.ArrayType(T.DoubleType())).alias("v"))
-    packed = settle(own.mapInArrow(_pack, "id long, packed binary").withColumn("digest", F.sha2("packed", 256)), "vectors")
+    packed = settle(own.mapInArrow(tidy(_pack), "id long, packed binary").withColumn("digest", F.sha2("packed", 256)), "vectors")
     full = packed.where("packed is not null and id is not null")
     reps = settle(full.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("packed").alias("packed")), "reps")
     total = reps.count()
-    sample = reps.select("id", "packed").orderBy(F.xxhash64("id"), "id").limit(sample_rows).toArrow().column("packed").to_pylist() if total else []
+    k = max(1, min(MOST_CELLS, total // cell_rows))
+    sample = reps.select("id", "packed").orderBy(F.xxhash64("id"), "id").limit(max(LEAST_SAMPLE, SAMPLE_A_CELL * k)).toArrow().column("packed").to_pylist() if total else []
     sizes = [len(x) for x in sample]
     usual = max(set(sizes), key=sizes.count) if sizes else 8
     unit = _unit([x for x in sample if len(x) == usual]) if sample else np.ones((1, 1))
-    k = max(1, min(MOST_CELLS, total // cell_rows, len(unit) // 4))
-    centres = spherical_kmeans(unit, k)
-    reach = math.sqrt(2 - 2 * threshold) * (0.5 if sigmas is None else min(0.5, sigmas / math.sqrt(usual // 8)))
-    placed = settle(reps.select("id", "packed", "n").mapInArrow(_placer(centres, reach), "id long, packed binary, n long, home int, cells array<int>"), "placed")
+    centres = spherical_kmeans(unit, max(1, min(k, len(unit) // 4)))
+    window = fit_window(unit, centres, threshold, target)
+    placed = settle(reps.select("id", "packed", "n").mapInArrow(tidy(_placer(window)), "id long, packed binary, n long, home int, cells array<int>"), "placed")
     spread = placed.select("id", "home", F.explode("cells").alias("cell"))
     load = spread.groupBy("cell").agg(F.count("*").alias("rows"), F.sum(F.when(F.col("home") == F.col("cell"), 1).otherwise(0)).alias("homes"))
     blocks = lambda c: F.ceil(F.col(c) / F.lit(float(block))).cast("int")
