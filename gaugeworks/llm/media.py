@@ -6,6 +6,8 @@ on the digest, and each comes back at its position with its caption.
 
 Media are made from bytes: padded with spaces to a positive multiple of 192 and
 stored as an 8-bit RGB image (PNG) of 64 pixels a row, which loses nothing.
+Media alone are stored; the pages of :func:`interleaved_pages` are made from
+them when they are read, a whole text with the image between its paragraphs.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.llm._store import settle
-from gaugeworks.llm._words import slices, texts_of
+from gaugeworks.llm._words import slices, texts_of, tidy
 
 ROW, WIDTH, LEVEL = 192, 64, 1
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -76,9 +78,11 @@ def feature(samples: np.ndarray) -> str:
 
 
 def interleaved_page(digest: str, n_bytes: int, text: str) -> str:
-    """A page of a whole text, a paragraph for each line that is not blank, and the media made from it."""
-    paragraphs = "".join(f"<p>{html.escape(line)}</p>" for line in text.split("\n") if line.strip())
-    return f'<article>{paragraphs}<figure><img src="sha256:{digest}" width="{WIDTH}" data-bytes="{n_bytes}"><figcaption>text of {n_bytes} bytes</figcaption></figure></article>'
+    """A page of a whole text, a paragraph for each line that is not blank; the media made from it stand behind the first half of them."""
+    parts = [f"<p>{html.escape(line)}</p>" for line in text.split("\n") if line.strip()]
+    figure = f'<figure><img src="sha256:{digest}" width="{WIDTH}" data-bytes="{n_bytes}"><figcaption>text of {n_bytes} bytes in {len(parts)} paragraphs</figcaption></figure>'
+    half = (len(parts) + 1) // 2
+    return f"<article>{''.join(parts[:half])}{figure}{''.join(parts[half:])}</article>"
 
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<!--.*?(?:-->|\Z)|([^<]+)|(<)""", re.DOTALL)
@@ -137,20 +141,31 @@ def parse_items(page: str | None) -> list[dict]:
 
 
 def store_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows ``(id, digest, media binary, page)`` in the shared folder: each text as media, and a page that refers to it."""
+    """Rows ``(id, digest, n_bytes, media binary)`` in the shared folder: each text as media.  Null texts are empty."""
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
                 texts = texts_of(batch.column("text"))
                 media = [to_png(pad(t)) for t in texts]
-                digests = [hashlib.sha256(m).hexdigest() for m in media]
-                pages = [interleaved_page(d, len(t), t.decode("utf-8")) for d, t in zip(digests, texts, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(digests), pa.array(media, pa.binary()), pa.array(pages)], ["id", "digest", "media", "page"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([hashlib.sha256(m).hexdigest() for m in media]), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], ["id", "digest", "n_bytes", "media"])
 
     kind = df.schema[id_col].dataType.simpleString()
     own = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return settle(own.mapInArrow(run, f"id {kind}, digest string, media binary, page string"), "media")
+    return settle(own.mapInArrow(tidy(run), f"id {kind}, digest string, n_bytes long, media binary"), "media")
+
+
+def interleaved_pages(stored: DataFrame) -> DataFrame:
+    """``(id, page)``: the page of each stored text, which is read back from its media.  Nothing is written."""
+
+    def run(batches):
+        for whole in batches:
+            for batch in slices(whole, "media"):
+                digests, sizes = batch.column("digest").to_pylist(), batch.column("n_bytes").to_pylist()
+                texts = [from_png(m).tobytes()[:n].decode("utf-8") for m, n in zip(batch.column("media").to_pylist(), sizes, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([interleaved_page(*x) for x in zip(digests, sizes, texts, strict=True)], pa.string())], ["id", "page"])
+
+    return stored.mapInArrow(tidy(run), f"id {stored.schema['id'].dataType.simpleString()}, page string")
 
 
 FEATURES = "media_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string"
@@ -176,7 +191,7 @@ def media_features(media: DataFrame) -> DataFrame:
                 kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["digest", "media_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "feature"])
 
-    found = media.select("digest", "media").mapInArrow(run, "digest string, " + FEATURES)
+    found = media.select("digest", "media").mapInArrow(tidy(run), "digest string, " + FEATURES)
     return settle(found.groupBy("digest").agg(F.min(F.struct("media_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "feature")).alias("f")).select("digest", "f.*"), "features")
 
 
@@ -190,14 +205,24 @@ def sequences(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
                 kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("n_bytes", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(items, kind)], ["id", "items"])
 
-    return df.select(F.col(id_col).alias("id"), F.col(html_col).cast("string").alias("page")).mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, items {ITEM}")
+    return df.select(F.col(id_col).alias("id"), F.col(html_col).cast("string").alias("page")).mapInArrow(tidy(run), f"id {df.schema[id_col].dataType.simpleString()}, items {ITEM}")
+
+
+def media_items(found: DataFrame) -> DataFrame:
+    """The media items of ``(id, items)``: ``id, position, caption, n_bytes, digest`` and ``n_items`` of the whole sequence."""
+    media = found.select("id", F.size("items").alias("n_items"), F.explode(F.filter("items", lambda i: i["kind"] == "media")).alias("i"))
+    return media.select("id", "i.position", F.col("i.text").alias("caption"), "i.n_bytes", "i.digest", "n_items")
 
 
 def resolve(found: DataFrame, features: DataFrame) -> DataFrame:
-    """Media items of ``(id, items)`` joined with ``features`` on the digest.
+    """:func:`media_items` joined with a table by ``digest``: :func:`media_features`, or the payloads themselves (:func:`payloads`).
 
-    One row per media item: ``id, position, caption, n_bytes, digest`` and the
-    features, null where no media has the digest.
+    One row per media item, at its position and with its caption; what the
+    table has is null where it lacks the digest.
     """
-    media = found.select("id", F.explode("items").alias("i")).where("i.kind = 'media'")
-    return media.select("id", "i.position", F.col("i.text").alias("caption"), "i.n_bytes", "i.digest").join(features, "digest", "left")
+    return media_items(found).join(features, "digest", "left")
+
+
+def payloads(stored: DataFrame) -> DataFrame:
+    """``(digest, media)``: the stored bytes, once per digest."""
+    return stored.groupBy("digest").agg(F.first("media").alias("media"))

@@ -56,13 +56,18 @@ f as (
          sum(weight) over (order by 2.0 * source_size / weight, rank rows between current row and unbounded following) as rest_weight
   from w),
 l as (select min(place) as first, arg_min(rest_words / rest_weight, place) as level from f where most > rest_words * weight / rest_weight),
-t as (select source, source_size, cast(case when place >= first then level * weight else most end as double) as target from f, l),
+t as (select source, rank, source_size, cast(case when place >= first then level * weight else most end as double) as target,
+             greatest(1, least(4096, (source_size + 49999) // 50000)) as blocks from f, l),
+g as (select *, cast(round_even(target, 0) as bigint) as goal from t),
+b as (select d.*, g.rank, g.source_size, g.target, g.goal, cast(floor(d.at / 4503599627370496.0 * g.blocks) as bigint) as block
+      from d join g on d.source is not distinct from g.source),
+k as (select rank, block, sum(size) as words from b group by all),
+e as (select rank, block, sum(words) over (partition by rank order by cast('0x' || substr(md5('0:' || rank || ':' || block), 1, 13) as bigint), block) - words as begins from k),
 o as (
-  select d.doc_id, d.size, t.source_size, t.target, cast(round_even(t.target, 0) as bigint) as goal,
-         coalesce(sum(d.size) over (partition by d.source order by d.at, d.doc_id, d.size rows between unbounded preceding and 1 preceding), 0) as before
-  from d join t on d.source is not distinct from t.source)
+  select b.*, e.begins, coalesce(sum(size) over (partition by b.rank, b.block order by at, doc_id, size rows between unbounded preceding and 1 preceding), 0) as before
+  from b join e using (rank, block))
 select doc_id, size, source_size, target,
-       cast(case when source_size = 0 then 0 else (goal // source_size) * size + greatest(0, least(size, goal % source_size - before)) end as bigint) as taken
+       cast(case when source_size = 0 then 0 else (goal // source_size) * size + greatest(0, least(size, goal % source_size - begins - before)) end as bigint) as taken
 from o
 """
 
@@ -133,8 +138,8 @@ from p join m using (payload_digest)
 
 @_query
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from gaugeworks.llm.media import media_features, resolve, sequences, store_media
+    from gaugeworks.llm.media import interleaved_pages, media_features, resolve, sequences, store_media
 
     stored = store_media(_table(spark, sf_dir, "documents"))
-    out = resolve(sequences(stored, "id", "page"), media_features(stored))
-    return out.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.col("digest").alias("media_sha256"), "feature")
+    out = resolve(sequences(interleaved_pages(stored), "id", "page"), media_features(stored))
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.col("digest").alias("media_sha256"), "feature", "position", "n_items", "caption")
