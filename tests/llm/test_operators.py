@@ -108,6 +108,18 @@ def test_repeats(spark, batch_bytes, entries):
     assert remove_repeats(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_rows_of_one_id_are_spread(spark):
+    from gaugeworks.llm.substring import remove_repeats, sizes
+
+    draw = random.Random(3)
+    passage = " ".join(draw.choices([f"p{k}" for k in range(50)], k=30))
+    rows = [(None, " ".join(draw.choices([f"w{k}" for k in range(900)], k=40)) + " " + passage * (i % 3 == 0), "s") for i in range(120)]
+    rows += [(4, passage, "s"), (9, passage + " end", "s")] + [(9, "one row " * 20, "s")] * 40
+    out = remove_repeats(docs(spark, rows).repartition(6), batch_bytes=1500, bucket_entries=40)
+    assert sorted([(r.id, r.text, r.n_words, r.n_removed) for r in out.collect()], key=str) == removed(rows)
+    assert sizes(0) == sizes(1 << 30) and sizes(10 << 40)[0] == 8 * sizes(0)[0]
+
+
 def test_cover_shifts_any_two_positions_together():
     from gaugeworks.llm.substring import COVER, PERIOD
 
