@@ -52,8 +52,8 @@ def whitelist(text: Column) -> Column:
     return F.regexp_replace(text, f"[^{ALLOWED}]", "")
 
 
-#: What stands between two parts of a line and means nothing at its ends.
-_EDGES = r"^[/:.,xX\s]+|[/xX:,\s]+$"
+#: What stands between two parts of a line and means nothing at its ends; the X of MAX is none.
+_EDGES = r"^[/:.,xX\s]+|(?:[/:,\s]|(?<![A-Za-z])[xX])++$"
 _INNER = [(r"[ \t]+", " "), (r"(?<=[0-9])\s*\.\s*(?=[0-9])", ".")]
 
 
@@ -166,6 +166,11 @@ def clean_ocr(text: Column) -> Column:
     return F.array_join(F.filter(F.transform(F.split(sanitize(text), "\n"), one), lambda line: line != ""), "\n")
 
 
+def masked_key(key: Column) -> Column:
+    """A secret key as it may be shown: its first six and last four characters if it has more than twelve, else none."""
+    return F.when(F.length(key) > 12, F.concat(F.substring(key, 1, 6), F.lit("•" * 8), F.substring(key, -4, 4))).otherwise("•" * 12)
+
+
 def join_cad_tokens(text: Column) -> Column:
     """A plus apart from its number, and ``n-0 m`` for a nominal with a zero line above a minus tolerance."""
     return fold(text, [(r"\+\s+(?=[0-9])", "+"), (rf"({NUM})-0\s+({NUM})", "$1 0 -$2")])

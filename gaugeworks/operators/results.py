@@ -70,6 +70,11 @@ def reading_order() -> list[Column]:
     return [F.col("y0").asc(), F.col("x0").asc()]
 
 
+def by_id(rows: DataFrame, newest_first: bool = True, id_col: str = "id") -> DataFrame:
+    """The result table as it is shown: by id, the newest on top unless turned round."""
+    return rows.orderBy(F.col(id_col).desc() if newest_first else F.col(id_col).asc())
+
+
 def delete_rows(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(gone.select(*keys).distinct(), keys, "left_anti")
 

@@ -13,25 +13,13 @@ from gaugeworks.functions import grammar, tolerance
 from gaugeworks.functions.callout import full_callout
 from gaugeworks.functions.normalize import sanitize
 from gaugeworks.functions.tolerance import Constraints
-from gaugeworks.operators import cluster, filters, geometry, metering, pipeline, results, rules, spatial
+from gaugeworks.operators import cluster, filters, geometry, metering, results, rules, spatial
 from gaugeworks.operators.geometry import Rect
-from gaugeworks.plans import inputs
+from gaugeworks.plans import forms, inputs, sheets  # noqa: F401 - their queries are registered as they are imported
 from gaugeworks.plans.inputs import BOXES_SQL, CALLOUTS_SQL, EVENTS_SQL, KEYS, table
+from gaugeworks.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from gaugeworks.sources import boxes as box_sources
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return put
-
 
 # ---- grammar
 
@@ -138,11 +126,11 @@ def exact_rule_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.lookup(rows, _exact(spark, sf_dir)).select("p_partkey", "rule.full_callout")
 
 
-@query("select p_partkey, case when p_partkey % 5 = 0 then 'adaptive_exact' when p_partkey % 5 = 1 then 'adaptive_rule' else 'grammar' end as source, case when p_partkey % 5 = 0 then cast(p_partkey as varchar) || ' ±1' when p_partkey % 5 = 1 then cast(p_partkey % 80 as varchar) || '.0' || cast(p_partkey % 9 as varchar) || ' 0/-0.02' else cast(30 + p_partkey % 60 as varchar) || ' ±0.2' end as full_callout from part where p_partkey % 5 <> 1 or p_partkey % 80 > 0")
+@query("select p_partkey, case when p_partkey % 5 = 0 then 'adaptive_exact' when p_partkey % 5 = 1 then 'adaptive_rule' else 'grammar' end as source, case when p_partkey % 5 = 0 then cast(p_partkey as varchar) || ' ±1' when p_partkey % 5 = 1 then cast(p_partkey % 80 as varchar) || '.0' || cast(p_partkey % 9 as varchar) || ' 0/-0.02' else cast(30 + p_partkey % 60 as varchar) || ' ±0.2' end as full_callout from part")
 def rules_then_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, text = F.col("p_partkey"), lambda c: c.cast("string")
     raw = F.when(key % 5 == 0, F.concat(F.lit("part "), text(key))).when(key % 5 == 1, F.concat(F.lit("w "), text(key % 80), F.lit(" 0 "), text(key % 9), F.lit(" -0.02"))).otherwise(text(30 + key % 60))
-    rows = table(spark, sf_dir, "part").where("p_partkey % 5 <> 1 or p_partkey % 80 > 0").select("p_partkey", raw.alias("raw_text"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw_text"))
     general = [{"id": "bad", "pattern": "(["}, {"id": "split", "pattern": r"^w ([0-9]+) ([0-9]+) ([0-9]+) (-[0-9.]+)$", "type": "split_tokens"}]
     out = rules.parse_callouts(rows, "raw_text", exact=_exact(spark, sf_dir), general=general)
     return out.select("p_partkey", "source", "dim.full_callout")
@@ -211,21 +199,17 @@ def dimension_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- joins of boxes
 
 
-def _crops(b: DataFrame) -> DataFrame:
-    return b.where("seq % 3 = 0").select("doc_id", "page_num", F.col("seq").alias("crop_id"), "x0", "y0", (F.col("x0") + 120).alias("x1"), (F.col("y0") + 80).alias("y1"))
-
-
-@query(f"with {BOXES_SQL}, c as (select doc_id, seq as crop_id, x0, y0, x0 + 120 as x1, y0 + 80 as y1 from b where seq % 3 = 0) select c.crop_id, b.seq from c join b using (doc_id) where (b.x0 + b.x1) / 2 between c.x0 - 8 and c.x1 + 8 and (b.y0 + b.y1) / 2 between c.y0 - 8 and c.y1 + 8")
+@query(f"with {BOXES_SQL}, c as (select doc_id, seq as crop_id, x0, y0, x0 + 120 as x1, y0 + 80 as y1 from b) select c.crop_id, b.seq from c join b using (doc_id) where (b.x0 + b.x1) / 2 between c.x0 - 8 and c.x1 + 8 and (b.y0 + b.y1) / 2 between c.y0 - 8 and c.y1 + 8")
 def center_in_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = inputs.boxes(spark, sf_dir)
-    return spatial.in_crop(b, _crops(b)).select(F.col("a_crop_id").alias("crop_id"), F.col("b_seq").alias("seq"))
+    return spatial.in_crop(b, inputs.crops(b)).select(F.col("a_crop_id").alias("crop_id"), F.col("b_seq").alias("seq"))
 
 
 _GAPS = "greatest(0, greatest(a.x0, b.x0) - least(a.x1, b.x1)) as dx, greatest(0, greatest(a.y0, b.y0) - least(a.y1, b.y1)) as dy"
 _SIDES = "least(a.y1 - a.y0, b.y1 - b.y0) as lh, least(a.x1 - a.x0, b.x1 - b.x0) as lw"
 
 
-@query(f"with {BOXES_SQL}, j as (select a.seq as a, b.seq as b, a.text as ta, b.text as tb, {_GAPS}, {_SIDES} from b a join b b on a.doc_id = b.doc_id and a.orientation = b.orientation and a.seq < b.seq) select a, b, dx + dy as dist from j where (dx < 1.5 * greatest(8, lh) and dy < 0.45 * greatest(8, lh) or dy < 1.2 * greatest(8, lh) and dx < 0.8 * greatest(8, lh)) and not contains(ta, '±') and not contains(tb, '±')")
+@query(f"with {BOXES_SQL}, j as (select a.seq as a, b.seq as b, a.text as ta, b.text as tb, {_GAPS}, {_SIDES} from b a join b b on a.doc_id = b.doc_id and a.orientation = b.orientation and a.seq < b.seq) select a, b, dx + dy as dist from j where (dx < 1.5 * greatest(8, lh) and dy < 0.45 * greatest(8, lh) or dy < 1.2 * greatest(8, lh) and dx < 0.8 * greatest(8, lh)) and not contains(ta, '±') and not contains(tb, '±') and not (starts_with(ta, 'Ø') and starts_with(tb, 'Ø'))")
 def box_pairs_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.near_pairs_vector(inputs.boxes(spark, sf_dir)).select(F.col("a_seq").alias("a"), F.col("b_seq").alias("b"), "dist")
 
@@ -298,10 +282,11 @@ def cluster_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.cluster_lines(b, ["cluster"]).select("cluster", F.array_join("lines", " ").alias("line"), "x0", "x1")
 
 
-@query("select l_orderkey as cluster, min(l_linenumber) * 10.0::double as x0, max(l_linenumber) * 10.0 + 5::double as x1, count(*) as n, avg(l_quantity) as mean_height from lineitem group by 1")
+@query("with o as (select l_orderkey, l_tax, l_quantity, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) - 1 as i from lineitem) select l_orderkey as cluster, min(i) * 30.0::double as x0, 5::double as y0, max(i) * 30.0 + 12.0::double as x1, 5.0 + max(l_quantity) as y1, round(avg(l_quantity), 6) as mean_height, round(avg(round(l_tax, 2)), 6) as score from o group by 1")
 def cluster_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = table(spark, sf_dir, "lineitem")
-    return line.groupBy(F.col("l_orderkey").alias("cluster")).agg((F.min("l_linenumber") * 10.0).alias("x0"), (F.max("l_linenumber") * 10.0 + 5).alias("x1"), F.count("*").alias("n"), F.avg("l_quantity").alias("mean_height"))
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*KEYS[1:])) - 1
+    b = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("cluster"), place.alias("seq"), F.lit("7").alias("text"), (place * 30.0).alias("x0"), F.lit(5.0).alias("y0"), (place * 30.0 + 12).alias("x1"), (F.col("l_quantity") + 5).alias("y1"), F.round("l_tax", 2).alias("score"))
+    return cluster.cluster_lines(b, ["cluster"]).select("cluster", "x0", "y0", "x1", "y1", F.round("mean_height", 6).alias("mean_height"), F.round("score", 6).alias("score"))
 
 
 @query("select o_orderkey as cluster, cast(10 + o_orderkey % 80 as varchar) || ' +0.1 -0.' || cast(1 + o_orderkey % 9 as varchar) as line from orders")
@@ -313,39 +298,6 @@ def stacked_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.cluster_lines(b, ["cluster"]).select("cluster", F.array_join("lines", " | ").alias("line"))
 
 
-@query()
-def union_find(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.cluster_boxes(inputs.boxes(spark, sf_dir))
-
-
-@query()
-def line_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.cluster_lines(inputs.boxes(spark, sf_dir), ["doc_id", "page_num", "orientation"])
-
-
-@query()
-def nms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.suppress_overlaps(inputs.boxes(spark, sf_dir).withColumnRenamed("text", "raw_text")).select("doc_id", "slot", "seq", "raw_text")
-
-
-@query()
-def detect_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = inputs.boxes(spark, sf_dir)
-    return pipeline.detect_dimensions(b, inputs.pages(b)).select("doc_id", "page_num", "stt", "raw_text", "dim.full_callout", "dim.tol_type", "x0", "y0", "x1", "y1")
-
-
-@query()
-def detect_scanned_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = inputs.boxes(spark, sf_dir)
-    return pipeline.detect_dimensions(b, inputs.pages(b), scanned=True).select("doc_id", "page_num", "stt", "raw_text", "dim.full_callout", "dim.tol_type", "x0", "y0", "x1", "y1")
-
-
-@query()
-def extract_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = inputs.boxes(spark, sf_dir)
-    return pipeline.extract_crops(b, _crops(b)).select("doc_id", "crop_id", "raw_text", "dim.full_callout", "score")
-
-
 @query("select p_partkey, case p_partkey % 4 when 0 then '+0.25' when 1 then '+0.5' when 2 then '+3' else '' end as best from part")
 def best_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey") % 4
@@ -407,9 +359,9 @@ def callout_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", out.alias("callout"))
 
 
-@query("select p_partkey, case when p_partkey % 7 = 0 then 'none' when p_partkey % 2 = 0 then 'crop' else 'page' end as source from part where p_partkey % 7 <> 1")
+@query("select p_partkey, case when p_partkey % 7 = 0 then 'none' when p_partkey % 2 = 0 then 'crop' else 'page' end as source from part")
 def arbitrate_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").where("p_partkey % 7 <> 1").select(F.col("p_partkey").alias("crop_id"))
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("crop_id"))
     k = F.col("crop_id")
     dim = lambda nominal, up, lo, kind: F.struct(nominal.cast("double").alias("nominal"), F.lit(up).alias("upper_tol"), F.lit(lo).alias("lower_tol"), F.lit(kind).alias("tol_type"))
     page = part.select(k, F.when(k % 7 != 0, dim(k, "", "", "global")).alias("dim"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A page holds the lines of three orders, so pages grow in number with the table and not in size.
+ORDERS_A_PAGE = 3
 KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
@@ -74,9 +76,9 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     x0 = (k["l_partkey"] * 7 + k["l_linenumber"] * 131) % 900
     y0 = (k["l_suppkey"] * 13 + k["l_partkey"] * 3) % 640
     n, dd = (1 + k["l_partkey"] % 98).cast("string"), _two(k["l_suppkey"] % 100)
-    text = F.when(k["l_partkey"] % 7 == 0, n).when(k["l_partkey"] % 11 == 0, "-").when(k["l_partkey"] % 13 == 0, F.concat(F.lit("±0."), dd)).otherwise(F.concat(n, F.lit("."), dd))
+    text = F.when(k["l_partkey"] % 7 == 0, n).when(k["l_partkey"] % 11 == 0, "-").when(k["l_partkey"] % 13 == 0, F.concat(F.lit("±0."), dd)).when(k["l_partkey"] % 5 == 0, F.concat(F.lit("Ø"), n)).otherwise(F.concat(n, F.lit("."), dd))
     out = line.select(
-        (k["l_orderkey"] % 5000).alias("doc_id"), F.lit(0).alias("page_num"), (((k["l_orderkey"] * 10 + k["l_linenumber"]) * 100000 + k["l_partkey"]) * 10000 + k["l_suppkey"]).alias("seq"), text.alias("text"),
+        F.floor(k["l_orderkey"] / ORDERS_A_PAGE).cast("long").alias("doc_id"), F.lit(0).alias("page_num"), (((k["l_orderkey"] * 10 + k["l_linenumber"]) * 100000 + k["l_partkey"]) * 10000 + k["l_suppkey"]).alias("seq"), text.alias("text"),
         x0.cast("double").alias("x0"), y0.cast("double").alias("y0"), (x0 + 12 + k["l_partkey"] % 70).cast("double").alias("x1"), (y0 + 9 + k["l_suppkey"] % 24).cast("double").alias("y1"),
         (0.5 + (k["l_linenumber"] % 5) / 10.0).alias("score"), F.when((k["l_partkey"] + k["l_linenumber"]) % 4 == 0, 90).otherwise(0).alias("orientation"),
     )
@@ -85,9 +87,10 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BOXES_SQL = """
 b as (
-  select l_orderkey % 5000 as doc_id, cast(0 as int) as page_num, ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey as seq,
+  select l_orderkey // 3 as doc_id, cast(0 as int) as page_num, ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey as seq,
          case when l_partkey % 7 = 0 then cast(1 + l_partkey % 98 as varchar) when l_partkey % 11 = 0 then '-'
               when l_partkey % 13 = 0 then '±0.' || lpad(cast(l_suppkey % 100 as varchar), 2, '0')
+              when l_partkey % 5 = 0 then 'Ø' || cast(1 + l_partkey % 98 as varchar)
               else cast(1 + l_partkey % 98 as varchar) || '.' || lpad(cast(l_suppkey % 100 as varchar), 2, '0') end as text,
          cast((l_partkey * 7 + l_linenumber * 131) % 900 as double) as x0, cast((l_suppkey * 13 + l_partkey * 3) % 640 as double) as y0,
          cast((l_partkey * 7 + l_linenumber * 131) % 900 + 12 + l_partkey % 70 as double) as x1, cast((l_suppkey * 13 + l_partkey * 3) % 640 + 9 + l_suppkey % 24 as double) as y1,
@@ -96,6 +99,11 @@ b as (
 """
 
 
+def crops(boxes_: DataFrame) -> DataFrame:
+    """A crop of 120 x 80 at each box."""
+    return boxes_.select("doc_id", "page_num", F.col("seq").alias("crop_id"), "x0", "y0", (F.col("x0") + 120).alias("x1"), (F.col("y0") + 80).alias("y1"))
+
+
 def pages(boxes_: DataFrame) -> DataFrame:
     return boxes_.select("doc_id", "page_num").distinct().select("doc_id", "page_num", F.lit(1000.0).alias("width"), F.lit(700.0).alias("height"))
 

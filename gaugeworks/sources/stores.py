@@ -5,6 +5,9 @@ from __future__ import annotations
 import csv
 import io
 import json
+import zipfile
+from collections.abc import Callable
+from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,3 +70,121 @@ def badge_counts(rows: DataFrame, shown: DataFrame, exact: DataFrame, general: l
     one = lambda df, name: df.agg(F.count("*").alias(name))
     out = one(rows, "total").join(one(shown, "shown"), F.lit(True)).join(one(exact, "exact"), F.lit(True))
     return out.withColumn("rules", F.col("exact") + F.lit(len(general)))
+
+
+# The headings of the workbook, and the name of its sheet.
+WORKBOOK = ["STT", "Số Lượng", "Ký Hiệu", "Nominal (Danh nghĩa)", "Dung Sai Trên (+)", "Dung Sai Dưới (-)", "Loại Dung Sai", "Kích Thước Đầy Đủ (Callout)", "Raw Text (OCR)", "Tọa Độ Crop (X, Y, W, H)"]
+SHEET = "DungSaiKichThuoc"
+_OFFICE = "http://schemas.openxmlformats.org"
+
+
+def sheet_workbook(rows: DataFrame, title: str, subtitle: str = "", order: str = "STT") -> bytes:
+    """One drawing's sheet as a workbook: title, subtitle, headings in row 4, rows from row 5; without styles.
+
+    ``rows`` are those of ``export_rows(..., missing="-")``; more than
+    ``MOST_SHEET_ROWS`` are an error, as in :func:`sheet_text`.
+    """
+    found = rows.select(*EXPORT).orderBy(order).limit(MOST_SHEET_ROWS + 1).collect()
+    if len(found) > MOST_SHEET_ROWS:
+        raise ValueError("too many rows for one sheet; write_sheets has no limit")
+
+    def row(n: int, values: list) -> str:
+        cell = lambda k, v: f'<c r="{chr(65 + k)}{n}"><v>{v}</v></c>' if isinstance(v, int) else f'<c r="{chr(65 + k)}{n}" t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
+        return f'<row r="{n}">' + "".join(cell(k, v) for k, v in enumerate(values) if v is not None) + "</row>"
+
+    body = [row(1, [title]), row(2, [subtitle]), row(4, WORKBOOK), *[row(5 + i, list(r)) for i, r in enumerate(found)]]
+    head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+    kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+    parts = {
+        "[Content_Types].xml": f'<Types xmlns="{_OFFICE}/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{kind}.worksheet+xml"/></Types>',
+        "_rels/.rels": f'<Relationships xmlns="{_OFFICE}/package/2006/relationships"><Relationship Id="rId1" Type="{_OFFICE}/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+        "xl/workbook.xml": f'<workbook xmlns="{_OFFICE}/spreadsheetml/2006/main" xmlns:r="{_OFFICE}/officeDocument/2006/relationships"><sheets><sheet name="{SHEET}" sheetId="1" r:id="rId1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{_OFFICE}/package/2006/relationships"><Relationship Id="rId1" Type="{_OFFICE}/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
+        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{_OFFICE}/spreadsheetml/2006/main"><sheetData>{"".join(body)}</sheetData><mergeCells count="2"><mergeCell ref="A1:J1"/><mergeCell ref="A2:J2"/></mergeCells></worksheet>',
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+        for name, text in parts.items():
+            book.writestr(name, head + text)
+    return out.getvalue()
+
+
+#: Settings that are never written.
+SECRET_SETTINGS = frozenset(("key", "apikey", "token", "password", "secret"))
+
+
+def read_settings(spark: SparkSession, path: str, defaults: dict | None = None) -> dict:
+    """The settings of a JSON object over ``defaults``; a folder that is not there gives these."""
+    try:
+        found = spark.read.text(path, wholetext=True).first()
+    except Exception as error:  # nothing written yet
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        found = None
+    return {**(defaults or {}), **(json.loads(found[0]) if found and found[0].strip() else {})}
+
+
+def write_settings(spark: SparkSession, settings: dict, path: str) -> None:
+    """The settings as one JSON object, without secrets."""
+    open_ = {k: v for k, v in settings.items() if not SECRET_SETTINGS.intersection(k.lower().split("_"))}
+    spark.createDataFrame([(json.dumps(open_, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def log_usage(events: DataFrame, path: str) -> None:
+    """Appends ``(ts, model, tokens)`` to the usage log, a folder per day, which :mod:`gaugeworks.operators.metering` counts."""
+    events.select("ts", "model", "tokens").withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(path)
+
+
+KEPT_VERSIONS = 50
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in store.listStatus(folder)] if store.exists(folder) else []
+    return sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version="))
+
+
+def save_version(rows: DataFrame, path: str, keep: int = KEPT_VERSIONS) -> int:
+    """Writes ``rows`` as the next version of a table and gives its number; of older versions the last ``keep`` stay, to be undone to."""
+    spark = rows.sparkSession
+    known = _versions(spark, path)
+    number = known[-1] + 1 if known else 0
+    rows.write.parquet(f"{path}/version={number:012d}")
+    store = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for old in known[: max(0, len(known) - keep)]:
+        store.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={old:012d}"), True)
+    return number
+
+
+def load_version(spark: SparkSession, path: str, back: int = 0) -> DataFrame | None:
+    """The table's last version, or the one ``back`` steps before it; None if it goes back further than is kept."""
+    known = _versions(spark, path)
+    return spark.read.parquet(f"{path}/version={known[-1 - back]:012d}") if back < len(known) else None
+
+
+def undo(spark: SparkSession, path: str) -> DataFrame | None:
+    """Drops the last version and gives the one before it; None, and nothing is dropped, if there is none."""
+    known = _versions(spark, path)
+    if len(known) < 2:
+        return None
+    last = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={known[-1]:012d}")
+    last.getFileSystem(spark._jsc.hadoopConfiguration()).delete(last, True)
+    return load_version(spark, path)
+
+
+class Memo:
+    """Results of scans by key, persisted until they are cleared (as when the reader changes)."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, DataFrame] = {}
+
+    def get(self, key: str, make: Callable[[], DataFrame]) -> DataFrame:
+        if key not in self.known:
+            self.known[key] = make().persist()
+        return self.known[key]
+
+    def clear(self) -> None:
+        for df in self.known.values():
+            df.unpersist()
+        self.known.clear()

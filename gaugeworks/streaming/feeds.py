@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gaugeworks.operators.metering import usage
 from gaugeworks.operators.rules import learn
+from gaugeworks.sources.stores import _versions, read_settings, write_settings
 
 
 def usage_stream(events: DataFrame, every: str = "1 minute", late: str = "10 minutes", by: list[str] | None = None) -> DataFrame:
@@ -31,15 +31,24 @@ def start_corrections(corrections: DataFrame, path: str, checkpoint: str) -> Str
 
     Each batch writes a new version folder and only then the next batch starts;
     a batch that is run again after a failure overwrites its own version.
+    Numbers go on from the versions that are there when the stream starts for
+    the first time, which a table beside the checkpoint keeps.
     """
+    spark = corrections.sparkSession
+    first = read_settings(spark, f"{checkpoint}/first").get("first")
+    if first is None:
+        known = _versions(spark, path)
+        first = known[-1] + 1 if known else 0
+        write_settings(spark, {"first": first}, f"{checkpoint}/first")
 
     def put(batch: DataFrame, number: int) -> None:
+        number += first
         spark = batch.sparkSession
         old = latest_rules(spark, path, number)
         new = learn(old, batch) if old is not None else learn(spark.createDataFrame([], _schema(batch)), batch)
         new.write.mode("overwrite").parquet(f"{path}/version={number:012d}")
 
-    return corrections.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return corrections.writeStream.foreachBatch(put).option("checkpointLocation", f"{checkpoint}/stream").trigger(availableNow=True).start()
 
 
 def _schema(batch: DataFrame) -> str:
@@ -47,13 +56,6 @@ def _schema(batch: DataFrame) -> str:
 
 
 def latest_rules(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The rule table's last version (below ``before``), or None while there is none."""
-    try:
-        every = spark.read.option("basePath", path).parquet(path)
-    except Exception as error:  # the folder is not there before the first batch
-        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
-            return None
-        raise
-    every = every if before is None else every.where(F.col("version").cast("long") < before)
-    last = every.agg(F.max(F.col("version").cast("long"))).first()[0]
-    return None if last is None else every.where(F.col("version").cast("long") == last).drop("version")
+    """The rule table's last version (below ``before``), or None while there is none.  Only folder names are listed."""
+    known = [v for v in _versions(spark, path) if before is None or v < before]
+    return spark.read.parquet(f"{path}/version={known[-1]:012d}") if known else None
