@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 QUERIES, ORACLES = {}, {}
+#: The modules of the queries; they need libraries that may be absent.
+MODULES = [f"gaugeworks.llm.{name}" for name in ("bagminhash", "bpe", "linetext", "media", "mixing", "quality", "secret_scan", "substring", "vectors", "warc")] + ["public_tokenizers"]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,7 +47,7 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op6_source_mixing"] = r"""
 with d as (
   select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size,
-         cast('0x' || substr(md5('0:' || coalesce(cast(doc_id as varchar), '')), 1, 13) as bigint) as at
+         cast('0x' || substr(md5('0:' || coalesce(cast(doc_id as varchar), '')), 1, 13) as bigint) as spot
   from documents),
 s as (select source, cast(sum(size) as bigint) as source_size from d group by source),
 r as (select *, row_number() over (order by source is null, encode(source)) - 1 as rank from s),
@@ -59,12 +61,12 @@ l as (select min(place) as first, arg_min(rest_words / rest_weight, place) as le
 t as (select source, rank, source_size, cast(case when place >= first then level * weight else most end as double) as target,
              greatest(1, least(4096, (source_size + 49999) // 50000)) as blocks from f, l),
 g as (select *, cast(round_even(target, 0) as bigint) as goal from t),
-b as (select d.*, g.rank, g.source_size, g.target, g.goal, cast(floor(d.at / 4503599627370496.0 * g.blocks) as bigint) as block
+b as (select d.*, g.rank, g.source_size, g.target, g.goal, cast(floor(d.spot / 4503599627370496.0 * g.blocks) as bigint) as block
       from d join g on d.source is not distinct from g.source),
 k as (select rank, block, sum(size) as words from b group by all),
 e as (select rank, block, sum(words) over (partition by rank order by cast('0x' || substr(md5('0:' || rank || ':' || block), 1, 13) as bigint), block) - words as begins from k),
 o as (
-  select b.*, e.begins, coalesce(sum(size) over (partition by b.rank, b.block order by at, doc_id, size rows between unbounded preceding and 1 preceding), 0) as before
+  select b.*, e.begins, coalesce(sum(size) over (partition by b.rank, b.block order by spot, doc_id, size rows between unbounded preceding and 1 preceding), 0) as before
   from b join e using (rank, block))
 select doc_id, size, source_size, target,
        cast(case when source_size = 0 then 0 else (goal // source_size) * size + greatest(0, least(size, goal % source_size - begins - before)) end as bigint) as taken
