@@ -251,7 +251,12 @@ def _linker(threshold: float, width: int):
     return run
 
 
-MOST_CLASHES = 10_000
+MOST_CLASHES, MOST_BROADCAST = 10_000, 200_000
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """A written table of narrow rows, broadcast if it is counted to be small: then a hot centre's members need not meet in one task."""
+    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
 
 
 def _node(clashes: list[int]) -> Column:
@@ -284,7 +289,8 @@ def _classes(own: DataFrame, threshold: float, width: int, bands: int, rows: int
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     spot = lambda n: F.pmod(F.xxhash64("node", F.lit(3)), F.col(n)).cast("int")
     lead = blocks.select("centre", F.col("centre").alias("node"), F.lit(0).cast("long").alias("n_bytes"), upto("n_blocks").alias("block"), F.lit(True).alias("lead"))
-    tasks = met.join(blocks, "centre").select("centre", "node", "n_bytes", spot("n_blocks").alias("block"), F.lit(False).alias("lead")).unionByName(lead)
+    large = _few(settle(blocks.where("n_blocks > 1"), "large"))
+    tasks = met.join(large, "centre", "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1))).select("centre", "node", "n_bytes", spot("n_blocks").alias("block"), F.lit(False).alias("lead")).unionByName(lead)
     tasks = tasks.join(texts, "node").repartition("centre", "block").sortWithinPartitions("centre", "block", F.desc("lead"))
     pairs = settle(tasks.mapInArrow(tidy(_to_centre(width)), "centre long, node long, n_bytes long, near double"), "pairs")
     roots = components(pairs.where(F.col("near") >= threshold).select(F.col("centre").alias("a"), F.col("node").alias("b")))
@@ -294,10 +300,10 @@ def _classes(own: DataFrame, threshold: float, width: int, bands: int, rows: int
     known = settle(known, "open")
     reach = F.when(F.col("open"), F.col("near"))
     groups = known.groupBy("centre").agg(F.min(reach).alias("low"), F.max(reach).alias("high"), F.count("*").alias("n")).where("low is not null and n > 1").drop("n")
-    apart = 1 - threshold + 1e-9
+    groups, apart = _few(settle(groups, "groups")), 1 - threshold + 1e-9
     left = known.join(groups, "centre").where(F.col("open") | (F.col("near") >= F.col("low") - apart) & (F.col("near") <= F.col("high") + apart)).drop("low", "high")
     load = left.groupBy("centre").agg(F.ceil(F.sum("n_bytes") / F.lit(float(block_bytes))).cast("int").alias("n_blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
-    left = left.join(load, "centre")
+    left = left.join(_few(settle(load, "load")), "centre")
     columns = ["centre", "i", "j", "first", "node", "near", "root"]
     one = left.where("open").withColumns({"i": spot("n_blocks"), "j": upto("n_blocks"), "first": F.lit(True)}).select(columns)
     two = left.withColumns({"j": spot("n_blocks"), "i": upto("n_blocks"), "first": F.lit(False)}).select(columns)
