@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # Price of a million tokens; level from which usage is shown as high and as critical.
 COST_PER_MILLION, AMBER, RED = 0.075, 70, 90
+MOST_PROFILES = 1000
 PROFILE = "tier string, rpd long, rpm long, tpm long"
 
 
@@ -23,8 +24,16 @@ def recent(minutes: DataFrame, keep: int = 10) -> DataFrame:
 
 
 def quota_report(daily: DataFrame, profile: DataFrame) -> DataFrame:
-    """Per day and profile: used, remaining, percent and cost; level is red from 90, amber from 70."""
-    both = daily.join(F.broadcast(profile), F.lit(True))  # a handful of profiles to each day
+    """Per day and profile: used, remaining, percent and cost; level is red from 90, amber from 70.
+
+    Every day is held against every profile, of which there are
+    ``MOST_PROFILES`` at most; more are an error.
+    """
+    rows = [r.asDict() for r in profile.limit(MOST_PROFILES + 1).collect()]
+    if len(rows) > MOST_PROFILES:
+        raise ValueError(f"more than {MOST_PROFILES} profiles")
+    each = F.array(*[F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in profile.schema]) for r in rows])
+    both = daily.select("*", F.inline(each)) if rows else daily.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in profile.schema]).limit(0)
     percent = F.least(F.lit(100.0), F.round(F.col("requests") * 100.0 / F.col("rpd"), 1))
     out = both.withColumn("remaining", F.greatest(F.lit(0), F.col("rpd") - F.col("requests"))).withColumn("percent", percent)
     return out.withColumn("cost", F.round(F.col("tokens") / 1e6 * COST_PER_MILLION, 4)).withColumn("level", F.when(F.col("percent") >= RED, "red").when(F.col("percent") >= AMBER, "amber").otherwise("normal"))

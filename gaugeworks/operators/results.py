@@ -23,13 +23,14 @@ def best_pass(passes: DataFrame, keys: list[str]) -> DataFrame:
     """The best of several readings of one thing, one row per ``keys``.
 
     Readings up to the first complete one, in order of ``pass_no``, count; of
-    those the highest quality wins, the earlier at a tie.  One aggregate.
+    those the highest quality wins, the earlier at a tie.  One exchange: the
+    window and the aggregate are by the same keys.
     """
     c = F.col
     rows = passes.withColumn("quality", quality(c("score"), c("nominal"), c("tol_type"), c("upper_tol"), c("lower_tol"))).withColumn("_full", is_complete(c("nominal"), c("tol_type"), c("upper_tol"), c("lower_tol")))
     others = [x for x in rows.columns if x not in (*keys, "_full")]
-    first = rows.groupBy(*keys).agg(F.min(F.when(c("_full"), c("pass_no"))).alias("_stop"))
-    kept = rows.join(first, keys).where(c("_stop").isNull() | (c("pass_no") <= c("_stop")))
+    stop = F.min(F.when(c("_full"), c("pass_no"))).over(Window.partitionBy(*keys))
+    kept = rows.withColumn("_stop", stop).where(c("_stop").isNull() | (c("pass_no") <= c("_stop")))
     return kept.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct("quality", -c("pass_no"))).alias("b")).select(*keys, "b.*")
 
 

@@ -67,8 +67,8 @@ def sheet_text(rows: DataFrame, order: str = "STT") -> str:
 
 def badge_counts(rows: DataFrame, shown: DataFrame, exact: DataFrame, general: list[dict]) -> DataFrame:
     """Rows shown and in all, and the number of rules."""
-    one = lambda df, name: df.agg(F.count("*").alias(name))
-    out = one(rows, "total").join(one(shown, "shown"), F.lit(True)).join(one(exact, "exact"), F.lit(True))
+    parts = [df.agg(*[F.count("*").alias(n) if n == name else F.lit(0).cast("long").alias(n) for n in ("total", "shown", "exact")]) for df, name in ((rows, "total"), (shown, "shown"), (exact, "exact"))]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2]).agg(*[F.sum(n).alias(n) for n in ("total", "shown", "exact")])
     return out.withColumn("rules", F.col("exact") + F.lit(len(general)))
 
 

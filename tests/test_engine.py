@@ -1,19 +1,25 @@
 """Folds, rules, sources and streams on small hand-made tables, and the catalogue against DuckDB."""
 
+import io
 import os
 import random
+import subprocess
+import sys
+import zipfile
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeworks.operators import cluster, results, rules, spatial
+from gaugeworks.functions.tolerance import band_join
+from gaugeworks.operators import cluster, metering, pipeline, results, rules, spatial
 from gaugeworks.plans import catalog
 from gaugeworks.sources import boxes as sources
 from gaugeworks.sources import stores
 from gaugeworks.streaming import feeds
 
 DATA = "/root/testdata/sf0.001"
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def box(seq, text, x0, y0, x1, y1, score=1.0, orientation=0):
@@ -118,8 +124,73 @@ def test_streams(spark, tmp_path):
     assert [(r.raw_text, r.full_callout) for r in feeds.latest_rules(spark, str(tmp_path / "table")).collect()] == [("a", "y")]
 
 
+def test_crops_of_two_pages(spark):
+    rows = [(1, 0, 1, "12.5 ±0.1", 0.0, 0.0, 40.0, 10.0, 0.5, 0), (2, 0, 1, "7 ±0.2", 0.0, 0.0, 40.0, 10.0, 1.0, 0), (2, 0, 2, "R9", 500.0, 500.0, 520.0, 510.0, 0.8, 0)]
+    crops = spark.createDataFrame([(1, 0, 1, 0.0, 0.0, 50.0, 20.0), (2, 0, 1, 0.0, 0.0, 50.0, 20.0), (2, 0, 2, 490.0, 490.0, 530.0, 520.0), (2, 0, 3, 800.0, 0.0, 810.0, 9.0)], "doc_id long, page_num int, crop_id int, x0 double, y0 double, x1 double, y1 double")
+    out = pipeline.extract_crops(spark.createDataFrame(rows, sources.BOXES), crops).collect()
+    assert {(r.doc_id, r.crop_id): (r.dim.full_callout, r.score, r.n_boxes) for r in out} == {(1, 1): ("12.5 ±0.1", 0.5, 1), (2, 1): ("7 ±0.2", 1.0, 1), (2, 2): ("R 9 ±0.2", 0.8, 1), (2, 3): ("", 0.0, 0)}
+    assert pipeline.extract_crops(spark.createDataFrame([], sources.BOXES), crops).where("dim.success").count() == 0
+
+
+def test_few_vector_boxes_fail_over(spark):
+    vector = spark.createDataFrame([box(1, "12.5 ±0.1", 100, 100, 160, 112)], sources.BOXES)
+    scans = spark.createDataFrame([box(7, "12.5", 100, 100, 130, 112), box(8, "±0.1", 134, 100, 160, 112)], sources.BOXES)
+    pages = spark.createDataFrame([(1, 0, 1000.0, 700.0)], sources.PAGES)
+    assert pipeline.detect_dimensions(vector, pages).count() == 0
+    (r,) = pipeline.detect_dimensions(vector, pages, scans=scans).collect()
+    assert (r.seq, r.dim.full_callout, r.x0, r.y0) == (7, "12.5 ±0.1", 92.0, 94.0)
+
+
+def test_images_are_read_by_a_hook(spark):
+    def engine(image):
+        return [([(1, 2), (9, 2), (9, 6), (1, 6)], word, 0.5) for word in image.decode().split()]
+
+    images = spark.createDataFrame([(1, 0, bytearray(b"12.5 !"), "x"), (2, 0, None, "x")], "doc_id long, page_num int, image binary, text string")
+    out = sources.from_corners(pipeline.read_images(images, engine)).collect()
+    assert [(r.doc_id, r.seq, r.text, r.score, r.x1) for r in out] == [(1, 0, "12.5", 0.5, 9.0)]
+
+
+def test_sheets_settings_versions(spark, tmp_path):
+    rows = spark.createDataFrame([("a & b", 0, 1.5, 10.0), ("c", 1, 2.5, None)], "raw_text string, page int, nominal double, x double").selectExpr("*", "'' as qty", "'' as prefix", "'' as nominal_str", "'+1' as upper_tol", "'-1' as lower_tol", "'local' as tol_type", "'' as full_callout", "x as y", "x as w", "x as h")
+    data = stores.sheet_workbook(results.export_rows(rows, ["raw_text"], missing="-"), "Drawing", "rules")
+    sheet = zipfile.ZipFile(io.BytesIO(data)).read("xl/worksheets/sheet1.xml").decode()
+    assert '<c r="A5"><v>1</v></c>' in sheet and "a &amp; b" in sheet and ">P1: X=10 Y=10 W=10 H=10<" in sheet and '<c r="J6" t="inlineStr"><is><t xml:space="preserve">-</t>' in sheet and "STT" in sheet
+    path = str(tmp_path / "settings")
+    assert stores.read_settings(spark, path, {"model": "m"}) == {"model": "m"}
+    stores.write_settings(spark, {"api_key": "secret", "max_tokens": 5}, path)
+    assert stores.read_settings(spark, path, {"model": "m"}) == {"model": "m", "max_tokens": 5}
+    events = spark.createDataFrame([("2026-01-01 00:00:30", "m", 5)], "ts string, model string, tokens long").withColumn("ts", F.to_timestamp("ts"))
+    for _ in range(2):
+        stores.log_usage(events, str(tmp_path / "log"))
+    assert metering.usage(spark.read.parquet(str(tmp_path / "log")), "1 day").first().tokens == 10
+    table = str(tmp_path / "table")
+    assert stores.load_version(spark, table) is None and stores.undo(spark, table) is None
+    for n in range(4):
+        assert stores.save_version(spark.range(n + 1), table, keep=2) == n
+    assert [stores.load_version(spark, table, b).count() for b in range(3)] == [4, 3, 2] and stores.load_version(spark, table, 3) is None
+    assert stores.undo(spark, table).count() == 3 and stores.load_version(spark, table).count() == 3
+    memo = stores.Memo()
+    assert memo.get("a", lambda: spark.range(3)).count() == memo.get("a", lambda: spark.range(5)).count() == 3
+    memo.clear()
+    assert memo.get("a", lambda: spark.range(5)).count() == 5
+
+
+def test_empty_tables_and_own_columns(spark):
+    none = spark.createDataFrame([], sources.BOXES)
+    assert cluster.cluster_lines(none, ["doc_id"]).count() == cluster.cluster_boxes(none).count() == cluster.suppress_overlaps(none.withColumnRenamed("text", "raw_text")).count() == 0
+    size = spark.createDataFrame([(2.0, "k"), (None, "k")], "size double, lo string")
+    assert sorted(str(r.tol) + r.lo for r in band_join(size, "size", "f", spark).collect()) == ["0.05k", "Nonek"]
+    keep = spark.createDataFrame([box(1, "ab", 0, 0, 20, 10)], sources.BOXES).withColumnRenamed("text", "raw_text").withColumn("extra", F.struct(F.lit(1).alias("a")))
+    assert cluster.suppress_overlaps(keep).first().extra.a == 1
+
+
+def test_entry_without_the_optional_part():
+    code = "import sys; sys.modules['sentencepiece'] = None; import __spark_entry__ as e; q = e.queries(); assert 'callout_parse' in q and not any(n.startswith('op') and n[2].isdigit() for n in q) and set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the shared tables are not here")
-@pytest.mark.parametrize("name", ["global_decimals", "iso2768_band", "exact_rule_lookup", "center_in_crop", "box_pairs_proximity", "fragment_suppress", "overlap_upsert", "best_pass", "quota_report"])
+@pytest.mark.parametrize("name", ["union_find", "nms", "line_cluster", "callout_forms", "damaged_numbers", "cluster_bbox", "arbitrate_readings", "general_modes", "template_hits", "extract_crops", "shown_counts", "coordinates", "global_decimals", "iso2768_band", "exact_rule_lookup", "center_in_crop", "box_pairs_proximity", "fragment_suppress", "overlap_upsert", "best_pass", "quota_report"])
 def test_catalogue(spark, name):
     con = duckdb.connect()
     for t in ("lineitem", "part", "events", "orders"):
