@@ -30,12 +30,24 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs the tasks it held and nothing
-    that came before, and what is used twice is computed once.
+    that came before, and what is used twice is computed once.  What is read
+    back names its folder, for :func:`discard`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes settled tables that nothing reads any more: all that was made of them is itself settled."""
+    for df in tables:
+        path = getattr(df, "settled_at", None)
+        if path:
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.llm._store import fresh, settle
+from gaugeworks.llm._store import discard, fresh, settle
 from gaugeworks.llm._words import Words, mix, ranges, slices, tidy, window_hashes
 from gaugeworks.llm.components import components
 
@@ -273,7 +273,7 @@ def _classes(own: DataFrame, threshold: float, width: int, bands: int, rows: int
     """The signed rows ``(id, h1, h2, n_shingles)``, and a row per different text with shingles: ``(h1, h2, id, class_id)``."""
     signed = settle(own.mapInArrow(tidy(_signer(bands, rows, width)), "id long, h1 long, h2 long, n_shingles long, n_bytes long, bands array<long>"), "signed")
     full = signed.where("n_shingles > 0 and id is not null")
-    reps = settle(full.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("n_bytes").alias("n_bytes"), F.first("bands").alias("bands")), "reps")
+    reps = stored = settle(full.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("n_bytes").alias("n_bytes"), F.first("bands").alias("bands")), "reps")
     # two texts with one first hash: some n^2 / 2^65, none below 10^9 texts
     clashes = [r[0] for r in reps.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1").limit(MOST_CLASHES + 1).collect()]
     if len(clashes) > MOST_CLASHES:
@@ -289,8 +289,8 @@ def _classes(own: DataFrame, threshold: float, width: int, bands: int, rows: int
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     spot = lambda n: F.pmod(F.xxhash64("node", F.lit(3)), F.col(n)).cast("int")
     lead = blocks.select("centre", F.col("centre").alias("node"), F.lit(0).cast("long").alias("n_bytes"), upto("n_blocks").alias("block"), F.lit(True).alias("lead"))
-    large = _few(settle(blocks.where("n_blocks > 1"), "large"))
-    tasks = met.join(large, "centre", "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1))).select("centre", "node", "n_bytes", spot("n_blocks").alias("block"), F.lit(False).alias("lead")).unionByName(lead)
+    large = settle(blocks.where("n_blocks > 1"), "large")
+    tasks = met.join(_few(large), "centre", "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1))).select("centre", "node", "n_bytes", spot("n_blocks").alias("block"), F.lit(False).alias("lead")).unionByName(lead)
     tasks = tasks.join(texts, "node").repartition("centre", "block").sortWithinPartitions("centre", "block", F.desc("lead"))
     pairs = settle(tasks.mapInArrow(tidy(_to_centre(width)), "centre long, node long, n_bytes long, near double"), "pairs")
     roots = components(pairs.where(F.col("near") >= threshold).select(F.col("centre").alias("a"), F.col("node").alias("b")))
@@ -300,20 +300,24 @@ def _classes(own: DataFrame, threshold: float, width: int, bands: int, rows: int
     known = settle(known, "open")
     reach = F.when(F.col("open"), F.col("near"))
     groups = known.groupBy("centre").agg(F.min(reach).alias("low"), F.max(reach).alias("high"), F.count("*").alias("n")).where("low is not null and n > 1").drop("n")
-    groups, apart = _few(settle(groups, "groups")), 1 - threshold + 1e-9
-    left = known.join(groups, "centre").where(F.col("open") | (F.col("near") >= F.col("low") - apart) & (F.col("near") <= F.col("high") + apart)).drop("low", "high")
+    groups, apart = settle(groups, "groups"), 1 - threshold + 1e-9
+    left = known.join(_few(groups), "centre").where(F.col("open") | (F.col("near") >= F.col("low") - apart) & (F.col("near") <= F.col("high") + apart)).drop("low", "high")
     load = left.groupBy("centre").agg(F.ceil(F.sum("n_bytes") / F.lit(float(block_bytes))).cast("int").alias("n_blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
-    left = left.join(_few(settle(load, "load")), "centre")
+    load = settle(load, "load")
+    left = left.join(_few(load), "centre")
     columns = ["centre", "i", "j", "first", "node", "near", "root"]
     one = left.where("open").withColumns({"i": spot("n_blocks"), "j": upto("n_blocks"), "first": F.lit(True)}).select(columns)
     two = left.withColumns({"j": spot("n_blocks"), "i": upto("n_blocks"), "first": F.lit(False)}).select(columns)
     more = settle(one.unionByName(two).join(texts, "node").groupBy("centre", "i", "j").applyInArrow(_linker(threshold, width), "a long, b long"), "more")
-    joined = components(more).select(F.col("node").alias("root"), F.col("root").alias("last"))
+    merged = components(more)
+    joined = merged.select(F.col("node").alias("root"), F.col("root").alias("last"))
     labels = reps.select("h1", "h2", "id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(joined, "root", "left")
     labels = settle(labels.select("h1", "h2", "id", F.coalesce("last", "root").alias("label")), "labels")
     least = labels.groupBy("label").agg(F.min("id").alias("class_id"))
     # a table of its own, so that joins with it are between plain exchanges and a hot text is split
-    return signed, settle(labels.join(least, "label").select("h1", "h2", "id", "class_id"), "classes")
+    classes = settle(labels.join(least, "label").select("h1", "h2", "id", "class_id"), "classes")
+    discard(stored, met, texts, large, pairs, roots, known, groups, load, more, merged, labels)
+    return signed, classes
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -214,7 +214,8 @@ class Codec:
         place = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[which] if len(keys) else np.empty(0, np.int64)
         count = self.known_size[place]
         pieces = self.known_ids[ranges(self.known_start[place], count)]
-        if not (np.array_equal(self.raw_size[place], end - start) and np.array_equal(self.raw[ranges(self.raw_start[place], end - start)], data[ranges(start, end - start)])):
+        own = data[start[0] : end[-1]] if len(start) and np.array_equal(start[1:], end[:-1]) else data[ranges(start, end - start)]
+        if not (np.array_equal(self.raw_size[place], end - start) and np.array_equal(self.raw[ranges(self.raw_start[place], end - start)], own)):
             found = self._pieces([data[i:j].tobytes() for i, j in zip(start.tolist(), end.tolist(), strict=True)])  # two pre-tokens of one hash
             count, pieces = np.array([len(x) for x in found], np.int64), np.array([i for x in found for i in x], np.int32)
         flat = self.ids[pieces - 1]

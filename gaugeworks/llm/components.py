@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm._store import settle
+from gaugeworks.llm._store import discard, settle
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -15,7 +15,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     smallest label among the neighbours (a partial aggregate before the
     shuffle, so a hub costs one row per task) and then the label's own label,
     so a path of n edges needs about log2 n rounds.  Labels live in a table in
-    the shared folder; nothing is brought to the driver but one count a round.
+    the shared folder, the last one only; nothing is brought to the driver but
+    one answer a round.
     An empty table gives an empty table; loops and repeated edges are harmless;
     edges with a null end are ignored.
     """
@@ -29,7 +30,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         jump = labels.select(F.col("node").alias("mid"), F.col("root").alias("far"))
         out = step.join(jump, "mid").select("node", "old", F.least("mid", "far").alias("root"))
         out = settle(out, "labels")
+        discard(labels)
         labels = out.select("node", "root")
+        labels.settled_at = out.settled_at
         if out.where("old <> root").isEmpty():
+            discard(both)
             return labels
     raise RuntimeError(f"no fixed point in {most_rounds} rounds")

@@ -37,6 +37,17 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+ORACLES["op2_substring_dedup"] = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+w as (select doc_id, i, array_to_string(words[i:i + 12], ' ') as run from (select doc_id, words, unnest(range(1, len(words) - 11)) as i from d)),
+f as (select run, min(doc_id) as first from w group by run),
+g as (select distinct doc_id, unnest(range(i, i + 13)) as i from w join f using (run) where first < doc_id),
+p as (select doc_id, words[i] as word, i from (select doc_id, words, unnest(range(1, len(words) + 1)) as i from d)),
+k as (select doc_id, count(*) as n_kept, string_agg(word, ' ' order by i) as text from p anti join g using (doc_id, i) group by doc_id)
+select doc_id, cast(len(words) as bigint) as n_words, cast(len(words) - coalesce(n_kept, 0) as bigint) as n_removed, sha256(coalesce(text, '')) as kept_sha256 from d left join k using (doc_id)
+"""
+
+
 @_query
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gaugeworks.llm.mixing import plan
@@ -89,6 +100,19 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", "kept")
 
 
+ORACLES["op9_minhash_dedup"] = r"""
+with recursive d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+t as (select min(doc_id) as id, words from d where len(words) > 0 group by words),
+s as (select id, run, count(*) as n from (select id, array_to_string(words[i:i + 4], ' ') as run from (select id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) as i from t)) group by all),
+z as (select id, sum(n) as size from s group by id),
+o as (select a.id as a, b.id as b, sum(least(a.n, b.n)) as both_ from s a join s b on a.run = b.run and a.id <> b.id group by all),
+l as (select a, b from o join z x on x.id = a join z y on y.id = b where both_ >= 0.8 * (x.size + y.size - both_)),
+r as (select id as a, id as b from t union select r.a, l.b from r join l on r.b = l.a),
+c as (select a as id, min(b) as class_id from r group by a)
+select d.doc_id, coalesce(c.class_id, d.doc_id) as class_id, d.doc_id = coalesce(c.class_id, d.doc_id) as kept from d left join t on t.words = d.words left join c on c.id = t.id
+"""
+
+
 @_query
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gaugeworks.llm.secret_scan import scan

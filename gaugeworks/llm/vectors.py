@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeworks.llm._store import settle
+from gaugeworks.llm._store import discard, settle
 from gaugeworks.llm._words import tidy
 from gaugeworks.llm.components import components
 
@@ -287,6 +287,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     known = reps.select("digest", F.col("id").alias("rep"), "n").join(counts.withColumnRenamed("id", "rep"), "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     known = settle(known.select("digest", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id")), "known")
+    discard(reps, placed, found, roots)
     linked = full.select("id", "digest").join(known, "digest").select("id", "n_links", "component_id")
     alone = packed.where("packed is null or id is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm._store import settle
+from gaugeworks.llm._store import discard, settle
 from gaugeworks.llm._words import slices, texts_of, tidy
 
 # The field names of both versions' header lines.
@@ -235,7 +235,9 @@ def write_archives(pages: DataFrame, least_revisit: int = LEAST_REVISIT, date: s
     kept = settle(kept.select("digest", F.col("last.page_id").alias("refers_to"), F.col("last.url").alias("refers_url")), "payloads")
     revisits = digested.select("page_id", "digest").join(kept, "digest").where("page_id < refers_to").distinct()
     found = keyed.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to", "refers_url")
-    return settle(found.mapInArrow(tidy(_archiver(date)), "name string, content binary"), "archives")
+    archives = settle(found.mapInArrow(tidy(_archiver(date)), "name string, content binary"), "archives")
+    discard(kept)
+    return archives
 
 
 def read_archives(archives: DataFrame) -> DataFrame:

@@ -442,6 +442,38 @@ def test_quality():
     assert (few.tails(few.score(pa.array(texts[1500:])))[:, 1] < 0.5).all() and few.thresholds.shape == (2,)
 
 
+def test_fit_is_near_the_maximum():
+    """The loss of the fitted model against plain gradient descent on the same features, weights and thresholds written out."""
+    from gaugeworks.llm.quality import features, fit_ordinal
+
+    draw = random.Random(3)
+    texts = [" ".join(draw.choices(["vile"] * (2 - g) + ["fine"] * g + [f"w{k}" for k in range(12)], k=30)) for g in (0, 1, 2) for _ in range(60)]
+    grade = np.repeat([0, 1, 2], 60)
+    bits = 10
+    at, feature, value = features(pa.array(texts), bits)
+    x = np.zeros((180, 1 << bits))
+    np.add.at(x, (at, feature), value)
+    x = x[:, np.bincount(feature, minlength=1 << bits) >= 8]
+
+    def loss(score, cut):
+        above = np.column_stack([np.ones(180), 1 / (1 + np.exp(cut[None, :] - score[:, None])), np.zeros(180)])
+        rows = np.arange(180)
+        return -np.log(np.maximum(above[rows, grade] - above[rows, grade + 1], 1e-12)).mean()
+
+    w, cut = np.zeros(x.shape[1]), np.array([-1.0, 1.0])
+    for _ in range(600):
+        score = x @ w
+        step = 1e-5
+        slope = np.array([(loss(score, cut + step * e) - loss(score, cut - step * e)) / (2 * step) for e in np.eye(2)])
+        above = np.column_stack([np.ones(180), 1 / (1 + np.exp(cut[None, :] - score[:, None])), np.zeros(180)])
+        high, low = above[np.arange(180), grade], above[np.arange(180), grade + 1]
+        pull = (high * (1 - high) - low * (1 - low)) / np.maximum(high - low, 1e-12) / 180
+        w += 0.2 * (x.T @ pull)
+        cut -= 0.2 * slope
+    model = fit_ordinal(texts, grade, bits)
+    assert loss(model.score(pa.array(texts)), model.thresholds) <= loss(x @ w, cut) + 0.02
+
+
 def plain_features(text, size):
     """Feature keys by reading the text character by character."""
     words = text.lower().split()
