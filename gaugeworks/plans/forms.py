@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions import grammar, normalize, tolerance
 from gaugeworks.functions.tolerance import Constraints
-from gaugeworks.operators import cluster, filters, pipeline, results
+from gaugeworks.operators import cluster, filters, metering, pipeline, results, rules
 from gaugeworks.operators.filters import TITLE_WORDS
 from gaugeworks.plans.inputs import KEYS, spread, table
 from gaugeworks.plans.registry import query
@@ -209,3 +209,19 @@ def newest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first hundred rows of the result table as it is shown, the newest on top."""
     shown = results.by_id(table(spark, sf_dir, "part").select("p_partkey", "p_size"), id_col="p_partkey").limit(100)
     return results.number(shown, [F.desc("p_partkey")], name="place").select("p_partkey", "p_size", F.col("place").cast("long").alias("place"))
+
+
+@query("select * from (values (1, 'own', false), (2, 'rule_dms_angle', true)) r(place, id, user_defined) where place = 1 or exists (select 1 from part where p_partkey % 3 = 0)")
+def learned_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The patterns after learning texts of which some have a degree sign: the angle rule is added, once."""
+    k = F.col("p_partkey")
+    texts = table(spark, sf_dir, "part").select(F.concat(k.cast("string"), F.when(k % 3 == 0, "°").otherwise("")).alias("raw_text"))
+    known = [{"id": "own", "pattern": "^x$", "type": "angle", "user_defined": False}]
+    known = rules.learn_patterns(rules.learn_patterns(known, texts), texts)
+    return spark.createDataFrame([(i + 1, r["id"], r["user_defined"]) for i, r in enumerate(known)], "place int, id string, user_defined boolean")
+
+
+@query("select * from (values (1, 'b'), (2, 'a'), (3, 'c')) m(place, model)")
+def model_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order in which models are tried."""
+    return spark.createDataFrame(list(enumerate(metering.try_order("b", ["a", "b", "c", "a"]), 1)), "place int, model string")
