@@ -155,6 +155,19 @@ def _unit(packed: list[bytes]) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1)[:, None]
 
 
+def _usual(column: pa.ChunkedArray) -> np.ndarray:
+    """Unit rows of the packed vectors that have the most frequent length (of several, the least)."""
+    packed = column.combine_chunks().cast(pa.large_binary())
+    ends = np.frombuffer(packed.buffers()[1], np.int64)[packed.offset : packed.offset + len(packed) + 1]
+    size = np.diff(ends)
+    kinds, times = np.unique(size, return_counts=True)
+    usual = int(kinds[times.argmax()])
+    data = np.frombuffer(packed.buffers()[2], np.uint8)
+    rows = np.concatenate([data[i : i + usual] for i in ends[:-1][size == usual].tolist()]) if len(kinds) > 1 else data[ends[0] : ends[-1]]
+    rows = np.frombuffer(rows.tobytes(), np.float64).reshape(-1, usual // 8)
+    return rows / np.linalg.norm(rows, axis=1)[:, None]
+
+
 def _pack(batches):
     for batch in batches:
         column = batch.column("v")
@@ -265,10 +278,9 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     reps = settle(full.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("packed").alias("packed")), "reps")
     total = reps.count()
     k = max(1, min(MOST_CELLS, total // cell_rows))
-    sample = reps.select("id", "packed").orderBy(F.xxhash64("id"), "id").limit(max(LEAST_SAMPLE, SAMPLE_A_CELL * k)).toArrow().column("packed").to_pylist() if total else []
-    sizes = [len(x) for x in sample]
-    usual = max(set(sizes), key=sizes.count) if sizes else 8
-    unit = _unit([x for x in sample if len(x) == usual]) if sample else np.ones((1, 1))
+    sample = reps.select("packed").orderBy(F.xxhash64("id"), "id").limit(max(LEAST_SAMPLE, SAMPLE_A_CELL * k)).toArrow().column("packed")
+    unit = _usual(sample) if total else np.ones((1, 1))
+    del sample
     centres = spherical_kmeans(unit, max(1, min(k, len(unit) // 4)))
     window = fit_window(unit, centres, threshold, target)
     placed = settle(reps.select("id", "packed", "n").mapInArrow(tidy(_placer(window)), "id long, packed binary, n long, home int, cells array<int>"), "placed")

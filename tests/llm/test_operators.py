@@ -77,6 +77,38 @@ def test_bpe_columns_and_digests(spark):
     assert round_trip_digests(df.limit(0), *where).count() == 0
 
 
+def test_bpe_of_long_texts_and_clashing_columns(spark):
+    tiktoken = pytest.importorskip("tiktoken")
+    from gaugeworks.llm.bpe import codec, decode, encode, read_ranks, round_trip, vocabulary
+
+    where = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    draw = random.Random(2)
+    long = " ".join("".join(draw.choices("abcdeé日0'", k=draw.randint(1, 9))) for _ in range(300_000))  # 2 MB
+    assert len(long.encode()) > 2 << 20
+    df = docs(spark, [(1, long, "s"), (2, "a" * 100_000, "s"), (3, None, "s")]).withColumnRenamed("batch", "ids").withColumnRenamed("digest", "decoded")
+    out = round_trip(df, *where)
+    assert out.columns == [c for c in df.columns if c != "ids"] + ["ids", "round_trip"]
+    rows = {r.doc_id: r for r in out.collect()}
+    other = tiktoken.Encoding("own", pat_str=where[1], mergeable_ranks=read_ranks(vocabulary(where[0])), special_tokens={})
+    assert rows[1].ids == other.encode_ordinary(long) and all(r.round_trip for r in rows.values()) and rows[3].ids == [] and rows[1].decoded == "z"
+    back = decode(encode(df, *where), *where)
+    assert back.columns.count("decoded") == 1 and {r.doc_id: bytes(r.decoded) for r in back.collect()}[1] == long.encode()
+    assert round_trip(df.limit(0), *where).count() == 0
+    # two pre-tokens that share a hash keep their own ids
+    both = codec(vocabulary(where[0]), where[1])
+    both._forget()
+    want = both.encode(pa.array(["one two", "three"])).to_pylist()
+    from gaugeworks.llm import bpe
+
+    usual, bpe.span_hashes = bpe.span_hashes, lambda data, start, end: np.ones(len(start), np.uint64)
+    try:
+        both._forget()
+        assert both.encode(pa.array(["one two", "three"])).to_pylist() == want
+    finally:
+        bpe.span_hashes = usual
+        both._forget()
+
+
 # ---- op2
 
 
@@ -824,6 +856,11 @@ def test_pipeline(spark, tmp_path):
         out = stage(spark, read, str(tmp_path))
         assert out.columns == read.columns, name
         assert stage(spark, read.limit(0), str(tmp_path)).count() == 0, name
+    from gaugeworks.llm.quality import fit, score
+
+    good = pipeline.select_quality(spark, read, str(tmp_path))
+    labels = spark.read.parquet(f"{tmp_path}/labels.parquet")
+    assert collections.Counter(r.doc_id for r in good.collect()) == collections.Counter(r.id for r in score(read, fit(read, labels)).collect() if r.kept)
     kept = pipeline.drop_near_duplicates(spark, read, str(tmp_path))
     assert {r.doc_id for r in kept.collect()} == {c for _, _, c in classes(rows)} | {i for i, t, _ in rows if not (t or "").split()}
     mixed = collections.Counter(r.doc_id for r in pipeline.mix_sources(spark, read, str(tmp_path)).collect())
