@@ -1,11 +1,25 @@
-"""Temporary columns beside a caller's own."""
+"""Temporary columns beside a caller's own, and a setting for long chains of expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_METHODS, _SPARKS, _HOTSPOTS = "spark.sql.codegen.hugeMethodLimit", "65535", "8000"
+
+
+def compile_small(spark: SparkSession) -> None:
+    """Lets Spark split generated methods that HotSpot would not compile.
+
+    HotSpot interprets methods above 8000 bytes, at a third of the speed; Spark's
+    documentation names that value for it.  A session that sets the limit
+    itself keeps its own.
+    """
+    if not spark.sparkContext.getConf().contains(_METHODS) and spark.conf.get(_METHODS) == _SPARKS:
+        spark.conf.set(_METHODS, _HOTSPOTS)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}
