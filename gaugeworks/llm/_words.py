@@ -11,6 +11,7 @@ import ctypes
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import SparkSession
 
 MASK = (1 << 64) - 1
 
@@ -162,8 +163,18 @@ def release() -> None:
         pass
 
 
+BATCHES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
 def tidy(run):
-    """``run`` for ``mapInArrow``, releasing memory when its task ends."""
+    """``run`` for ``mapInArrow``, releasing memory when its task ends.
+
+    Where the session leaves the size of Arrow batches at Spark's default (64
+    MB, which both sides of a task hold several times), it is set to 4 MB.
+    """
+    session = SparkSession.getActiveSession()
+    if session is not None and not session.sparkContext.getConf().contains(BATCHES) and session.conf.get(BATCHES) == f"{64 << 20}b":
+        session.conf.set(BATCHES, str(BATCH_BYTES))
 
     def whole(batches):
         try:

@@ -40,6 +40,21 @@ def corpus(seed=0, n=60):
     return rows
 
 
+def test_batches_are_bounded(spark):
+    from gaugeworks.llm._words import BATCHES, tidy
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    df = spark.range(9000).select(F.repeat(F.lit("x"), 3000).alias("t")).coalesce(1)
+    assert max(r.n for r in df.mapInArrow(tidy(sizes), "n long").collect()) < 5 << 20
+    spark.conf.set(BATCHES, "9m")  # as the user sets it, it stays
+    tidy(sizes)
+    assert spark.conf.get(BATCHES) == "9m"
+    spark.conf.unset(BATCHES)
+
+
 # ---- op1
 
 
