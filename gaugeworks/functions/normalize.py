@@ -80,8 +80,8 @@ def replace_characters(text: Column, replacements: dict[str, str]) -> Column:
 
 _PIECE = rf"({NUM}|[^0-9]+)"
 _WHOLE, _DECIMAL = "^[0-9]+$", r"^[0-9]+\.[0-9]+$"
-#: A letter where a zero belongs: before a point, behind one, or alone behind a sign.
-_ZERO_LETTER = r"(?<![A-Za-z0-9_])[oO](?=\.)|(?<=[0-9]\.)[oO](?=[0-9])|(?<=[+-])[oO](?![A-Za-z0-9_])"
+#: A letter where a zero belongs: before a point (the C of a chamfer may stand before it), behind one, or alone behind a sign.
+_ZERO_LETTER = r"(?<![A-Za-z0-9_])[oO](?=\.)|(?<=(?<![A-Za-z0-9_])C)[oO](?=\.)|(?<=[0-9]\.)[oO](?=[0-9])|(?<=[+-])[oO](?![A-Za-z0-9_])"
 #: A sign behind its number.
 _LATE_SIGN = rf"(?<![0-9.])({NUM})\s*([-+])(?=\s|$)"
 _SPELLING = [(_ZERO_LETTER, "0"), (r"(?<=[0-9]):(?=[0-9])", "."), (r"(?<=[0-9]\s{0,4}-\s{0,4})8(?=\.)", "0"), *_INNER[1:], (r"(?m)^°\s*", "0\n"), (r"\s+°(?=[0-9A-Za-z])", " 0"), (_LATE_SIGN, "$2$1")]
