@@ -80,14 +80,14 @@ class Line:
         self.text, self.links, self.cut, self.article, self.home = text, links, cut, article, home
 
 
-def lines(page: str) -> tuple[list[Line], dict[int, tuple[bool, bool]]]:
-    """The lines of a page in order, and per dropped element whether it may be a whole layout and whether an article lies in it.
+def lines(page: str) -> tuple[list[Line], dict[int, tuple[bool, bool, int]]]:
+    """The lines of a page in order, and per dropped element whether it may be a whole layout, whether an article lies in it, and the dropped one around it (0: none).
 
     A dropped element begins with an empty line of its own.  End tags that HTML
     lets out are supplied; an end tag without a start does nothing.
     """
     out: list[Line] = []
-    dropped: dict[int, tuple[bool, bool]] = {}
+    dropped: dict[int, tuple[bool, bool, int]] = {}
     # open elements: name, and the dropped element, article and container from here on
     names, cuts, articles, homes = [""], [0], [0], [0]
     parts: dict[int, list[str]] = {}
@@ -160,12 +160,13 @@ def lines(page: str) -> tuple[list[Line], dict[int, tuple[bool, bool]]]:
         if name in ("article", "main"):
             for x in set(cuts):
                 if x:
-                    dropped[x] = dropped[x][0], True
+                    dropped[x] = dropped[x][0], True, dropped[x][2]
             count += 1
             article = article or count
-        elif not cut and (layout := _hint(name, attributes, article > 0)) is not None:
+        elif (not cut or dropped[cut][0]) and (layout := _hint(name, attributes, article > 0)) is not None:
             count += 1
-            cut, dropped[count] = count, (layout, False)
+            dropped[count] = layout, False, cut
+            cut = count
             if name in _BLOCKS or not any(parts.values()):
                 out.append(Line("", 0.0, cut, article, home))
         if name in _CONTAINERS:
@@ -181,9 +182,9 @@ def lines(page: str) -> tuple[list[Line], dict[int, tuple[bool, bool]]]:
     return out, dropped
 
 
-def weights(found: list[Line], free: set[int]) -> list[int]:
-    """The weight of each line; ``free`` are dropped elements that count all the same."""
-    open_ = [bool(x.text) and (not x.cut or x.cut in free) for x in found]
+def weights(found: list[Line], lost: set[int]) -> list[int]:
+    """The weight of each line; ``lost`` are the dropped elements that do not count."""
+    open_ = [bool(x.text) and x.cut not in lost for x in found]
     marked = any(o and x.article for x, o in zip(found, open_, strict=True))
     return [len(x.text) if o and (x.article if marked else x.links <= 0.5) else 0 for x, o in zip(found, open_, strict=True)]
 
@@ -205,19 +206,29 @@ def stretches(weight: list[int], window: int, surge: int) -> list[tuple[int, int
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """Kept blocks in page order, two line breaks between; empty if there is none.
 
-    A dropped element that holds the article counts; where all text would be
-    lost, so do those that only a layout's word speaks against.
+    A dropped element counts if only a layout's word speaks against it and it
+    holds an article, or if all text would be lost; one of comments or cards
+    never does, whatever elements it is made of.
     """
     found, dropped = lines(page or "")
-    free = {k for k, (_, article) in dropped.items() if article}
-    weight = weights(found, free)
+
+    def gone(free) -> set[int]:
+        """Dropped elements that are not free, and those inside them."""
+        out: set[int] = set()
+        for k, (layout, article, outer) in dropped.items():  # an outer one comes first
+            if not free(layout, article) or outer in out:
+                out.add(k)
+        return out
+
+    lost_in = gone(lambda layout, article: layout and article)
+    weight = weights(found, lost_in)
     if not any(weight):
-        free |= {k for k, (layout, _) in dropped.items() if layout}
-        weight = weights(found, free)
+        lost_in = gone(lambda layout, _: layout)
+        weight = weights(found, lost_in)
         if max(weight, default=0) < surge:
             return ""
     marked = any(x.article and w for x, w in zip(found, weight, strict=True))
-    lost = [bool(x.cut) and x.cut not in free for x in found]
+    lost = [x.cut in lost_in for x in found]
     place = [x.article or -x.home for x in found]
     before, behind, last = [0] * len(found), [0] * len(found), 0
     for i, x in enumerate(found):

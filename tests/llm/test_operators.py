@@ -322,6 +322,11 @@ def test_main_text_of_layouts():
     for wrapper in ('div class="sidebar"', 'div class="comments"', "nav", "footer", 'p class="ad"', 'div role="navigation"', 'div class="cookie-notice"'):
         assert main_text(f"<{wrapper}>{long}</{wrapper.split()[0]}>") == ""
         assert main_text(f"<{wrapper}>{long}</{wrapper.split()[0]}><article><p>Short.</p></article>") == "Short."
+    # comments and cards that are articles themselves; a form around the whole page
+    for wrapper in ('div class="comments"', 'section id="related-posts"', "aside"):
+        inner = f"<{wrapper}><article><p>{long}{long}</p></article></{wrapper.split()[0]}>"
+        assert main_text(f"<div><p>{long}</p><p>End.</p></div>{inner}") == main_text(f"<article><p>{long}</p><p>End.</p>{inner}</article>") == main_text(f"<main><p>{long}</p><p>End.</p></main>{inner}") == f"{whole}\n\nEnd."
+    assert main_text(f"<form><nav>menu</nav><article><p>Short.</p></article><div class=comments><article>{long}</article></div></form>") == "Short."
     # end tags that HTML lets out
     assert main_text(f"<article><p>{long}<p class=ad>buy<p>More.<ul><li>one<li class=promo>two<li>three</ul><p>end</article><p>out") == f"{whole}\n\nMore.\n\none\n\nthree\n\nend"
     assert main_text(f"<article><table><tr><td>a<td class=ad>b<tr><td>c</table><dl><dt>d<dd class=ad>e<dt>f</dl><p>{long}</article>") == f"a\n\nc\n\nd\n\nf\n\n{whole}"
