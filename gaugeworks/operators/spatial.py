@@ -144,17 +144,22 @@ def latest_hit(drawn: DataFrame, table: DataFrame, least: float = 0.5) -> DataFr
     return overlapping(drawn, table, overlap, least).groupBy(*PAGE, F.col("a_seq").alias("seq")).agg(F.max("b_seq").alias("hit"))
 
 
-def attach_signs(boxes: DataFrame, reach: float = 96.0) -> DataFrame:
+def attach_signs(boxes: DataFrame) -> DataFrame:
     """Each box that is only a sign with the nearest box at its right on the same line.
 
     Same line: centres nearer than three quarters of the greater height; at the
     right: 0 up to 1.5 heights, 10 at least.  The least difference of centres
     wins, then ``seq``.  Comes out: the sign's ``seq``, the partner's, and the
-    joined box with the mean score.
+    joined box with the mean score.  The greater height may be either's, so signs
+    reach for boxes and boxes for signs, each as far as its own height allows; a
+    pair that is found twice counts once.
     """
     signs = boxes.where(F.trim("text").isin("-", "+", "±", "—", "–", "−"))
     dx, dy, h = B.x0 - A.x1, F.abs(A.cy - B.cy), F.greatest(A.y1 - A.y0, B.y1 - B.y0)
-    pairs = grid_join(signs, boxes, PAGE, reach).where((F.col("a_seq") != F.col("b_seq")) & (dy < h * 0.75) & (dx >= 0) & (dx <= F.greatest(F.lit(10.0), h * 1.5)))
+    reach = F.greatest(F.lit(10.0), (F.col("y1") - F.col("y0")) * 1.5)
+    one, two = grid_join(signs, boxes, PAGE, reach), grid_join(boxes, signs, PAGE, reach)
+    turned = [F.col(c).alias({"a_": "b_", "b_": "a_"}[c[:2]] + c[2:]) for c in two.columns if c[:2] in ("a_", "b_")]
+    pairs = one.unionByName(two.select(*PAGE, *turned)).where((F.col("a_seq") != F.col("b_seq")) & (dy < h * 0.75) & (dx >= 0) & (dx <= F.greatest(F.lit(10.0), h * 1.5)))
     best = pairs.groupBy(*PAGE, "a_seq").agg(F.min_by(F.struct(*[c for c in pairs.columns if c[:2] in ("a_", "b_")]), F.struct(dy, F.col("b_seq"))).alias("p"))
     best = best.select(*PAGE, "p.*")
     sign = F.when(F.trim("a_text").isin("-", "—", "–", "−"), "-").otherwise(F.trim("a_text"))

@@ -66,6 +66,19 @@ def test_pairs_of_large_boxes(spark):
     assert found == {250: 250, 251: 250, 252: 252, 253: 252}
 
 
+def test_signs_of_boxes_of_any_size(spark):
+    draw = random.Random(4)
+    rows = [box(i, draw.choice(["-", "5", "7.5"]), x := draw.randrange(900), y := draw.randrange(900), x + draw.randint(3, 60), y + draw.randint(4, 260), 0.5) for i in range(140)]
+    want = {}
+    for a in rows:
+        for b in rows if a[3] == "-" else ():
+            dx, dy, h = b[4] - a[6], abs((a[5] + a[7]) / 2 - (b[5] + b[7]) / 2), max(a[7] - a[5], b[7] - b[5])
+            if a[2] != b[2] and dy < 0.75 * h and 0 <= dx <= max(10, 1.5 * h):
+                want[a[2]] = min(want.get(a[2], (dy, b[2])), (dy, b[2]))
+    out = spatial.attach_signs(spark.createDataFrame(rows, sources.BOXES)).collect()
+    assert {r.seq: r.partner for r in out} == {k: v[1] for k, v in want.items()} and max(abs(rows[k][6] - rows[v[1]][4]) for k, v in want.items()) > 96
+
+
 def test_suppression_is_settled(spark):
     df = spark.createDataFrame([box(1, "ab", 0, 0, 20, 10), box(2, "abcd", 1, 0, 21, 10), box(3, "z", 50, 0, 60, 10)], sources.BOXES).withColumnRenamed("text", "raw_text")
     once = cluster.suppress_overlaps(df)
