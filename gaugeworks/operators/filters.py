@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -32,8 +33,8 @@ def is_border_label(text: Column, x0: Column, y0: Column, x1: Column, y1: Column
 
 def has_title_word(text: Column, vector: bool = True) -> Column:
     """Holds a title word; of scanned text one with a decimal number is kept."""
-    up = F.upper(text)
-    hit = reduce(lambda a, b: a | b, [F.contains(up, F.lit(w)) for w in TITLE_WORDS + VECTOR_WORDS * vector])
+    # every word has three letters on end, which few callouts have; one pattern, so the upper case is made once
+    hit = text.rlike(r"[A-Za-z\x{80}-\x{10FFFF}]{3}") & F.upper(text).rlike("|".join(re.escape(w) for w in TITLE_WORDS + VECTOR_WORDS * vector))
     return hit if vector else hit & ~text.rlike(r"[0-9]+\.[0-9]+")
 
 
@@ -61,13 +62,18 @@ def is_box_size(w: Column, h: Column, orientation: Column, vector: bool = False)
     return F.when(orientation == 0, flat).otherwise(tall)
 
 
-def page_filter(boxes: DataFrame, pages: DataFrame, vector: bool = True, part_numbers: list[str] | None = None) -> DataFrame:
-    """Boxes of a page (``width``, ``height`` from ``pages``) that can be dimensions; page sizes stay as columns."""
+def can_be_dimension(vector: bool = True, part_numbers: list[str] | None = None) -> Column:
+    """Of a box with the ``width`` and ``height`` of its page."""
     c = F.col
-    df = boxes.join(pages.select("doc_id", "page_num", "width", "height"), ["doc_id", "page_num"])
     keep = has_ink(c("text")) & ~in_title_block(c("x0"), c("y0"), c("width"), c("height"), vector) & ~in_note_strip(c("y0"), c("height"), vector)
     keep &= ~is_border_label(c("text"), c("x0"), c("y0"), c("x1"), c("y1"), c("width"), c("height")) & ~has_title_word(c("text"), vector) & ~is_formula(c("text"), vector)
-    return df.where(keep & ~is_part_number(c("text"), part_numbers or []))
+    return keep & ~is_part_number(c("text"), part_numbers or [])
+
+
+def page_filter(boxes: DataFrame, pages: DataFrame, vector: bool = True, part_numbers: list[str] | None = None) -> DataFrame:
+    """Boxes of a page (``width``, ``height`` from ``pages``) that can be dimensions; page sizes stay as columns."""
+    df = boxes.join(pages.select("doc_id", "page_num", "width", "height"), ["doc_id", "page_num"])
+    return df.where(can_be_dimension(vector, part_numbers))
 
 
 def enough_boxes(boxes: DataFrame, least: int = 3) -> DataFrame:

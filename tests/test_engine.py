@@ -8,11 +8,12 @@ import sys
 import zipfile
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.tolerance import band_join
-from gaugeworks.operators import cluster, metering, pipeline, results, rules, spatial
+from gaugeworks.operators import cluster, filters, metering, pipeline, results, rules, spatial
 from gaugeworks.plans import catalog
 from gaugeworks.sources import boxes as sources
 from gaugeworks.sources import stores
@@ -214,3 +215,59 @@ def test_catalogue(spark, name):
     assert sorted(got.columns) == order
     plain = lambda rows: sorted([tuple("" if v is None else str(round(v, 6) if isinstance(v, float) else v) for v in r) for r in rows])
     assert plain(map(tuple, got.select(*[f"`{c}`" for c in order]).collect())) == plain(want.project(", ".join(f'"{c}"' for c in order)).fetchall())
+
+
+def test_page_scan_reads_its_boxes_once(spark, tmp_path):
+    spark.createDataFrame([box(i, "12.5", 200 * i, 100, 200 * i + 30, 112) for i in (1, 2)], sources.BOXES).write.parquet(str(tmp_path / "boxes"))
+    boxes, pages = spark.read.parquet(str(tmp_path / "boxes")), spark.createDataFrame([(1, 0, 1000.0, 700.0)], sources.PAGES)
+    found = pipeline.detect_dimensions(boxes, pages, scans=boxes)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    assert [(r.seq, r.stt) for r in found.collect()] == [(1, 1), (2, 2)]
+
+
+def test_clusters_of_whole_pages(spark):
+    rng = random.Random(5)
+    texts = ["12.5", "7.25", "3", "±0.1", "+0.1", "-0.05", "Ø8", "R4", "TYP", "x", "12.5 ±0.1", "0.37"]
+    rows = []
+    for doc in range(60):
+        for seq in range(rng.choice([1, 4, 30])):
+            x, y = rng.randrange(150), rng.randrange(90)
+            rows.append((doc, 0, seq * 3, rng.choice(texts), float(x), float(y), x + rng.choice([6.0, 30.0, 90.0]), y + rng.choice([5.0, 12.0, 40.0]), 0.5, rng.choice([0, 0, 0, 90])))
+    boxes = spark.createDataFrame(rows, sources.BOXES)
+    keys = ["doc_id", "page_num"]
+    for scanned in (False, True):
+        kept = spatial.suppress_fragments(boxes) if scanned else boxes
+        want = {(r.doc_id, r.seq): r.cluster for r in cluster.cluster_boxes(kept, scanned).collect()}
+        row = F.struct("seq", "orientation", *[v.alias(c) for c, v in cluster.traits().items()])
+        whole = boxes.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("boxes")).withColumn("scanned", F.lit(scanned))
+        got = {(r.doc_id, r.boxes[i].seq): r.boxes[at[0]].seq for r in cluster.cluster_pages(whole).collect() for at in r.clusters for i in at}
+        assert got == want and len(set(want.items())) > len({(d, c) for (d, _), c in want.items()})
+        lines = {(r.doc_id, r.cluster, r.orientation): (r.lines, r.x0, r.y1) for r in cluster.cluster_lines(kept.join(cluster.cluster_boxes(kept, scanned), [*keys, "orientation", "seq"]), [*keys, "orientation", "cluster"]).collect()}
+        assert {(r.doc_id, r.seq, r.orientation): (r.lines, r.x0, r.y1) for r in cluster.page_lines(whole, keys).collect()} == lines
+
+
+def test_pairs_are_met_in_parts(monkeypatch):
+    rng = np.random.default_rng(3)
+    group, low = rng.integers(0, 4, 200).astype(float), rng.integers(0, 900, 200).astype(float)
+    high, reach = low + rng.integers(1, 80, 200), np.full(200, 12.0)
+    want = {(i, j) for i in range(200) for j in range(i) if group[i] == group[j] and max(low[i], low[j]) <= (high[i] if low[i] < low[j] else high[j]) + 12 and low[i] != low[j]}
+    want |= {(i, j) for i in range(200) for j in range(i) if group[i] == group[j] and low[i] == low[j]}
+    for size in (7, 1 << 21):
+        monkeypatch.setattr(cluster, "PAIRS", size)
+        found = [(max(i, j), min(i, j)) for a, b in cluster._meeting(group, low, high, reach) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+        assert len(found) == len(set(found)) and set(found) == want
+    assert list(cluster._meeting(group[:0], low[:0], high[:0], reach[:0])) == []
+
+
+def test_repeated_texts_are_parsed_once_for_all(spark, monkeypatch):
+    monkeypatch.setattr(rules, "TOGETHER", 3)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["12.5 ±0.1", "Ø12 TYP", None, "R9", ""] * 20)], "id long, raw_text string")
+    want = {r.id: r for r in rules.parse_callouts(df).select("id", "raw_text", "dim", "source").collect()}
+    got = rules.parse_repeated(df, "raw_text", ["id"]).collect()
+    assert len(got) == 100 and {r.id: r for r in got} == want
+
+
+def test_title_words_in_any_spelling(spark):
+    df = spark.createDataFrame([("Finish",), ("ﬁnish",), ("rev.B",), ("do not  scale",), ("12.5 scale",), ("RE V",), ("Ø12 TYP",), ("maßstab",)], "text string")
+    assert [r[0] for r in df.select(filters.has_title_word(F.col("text"))).collect()] == [True, True, True, True, True, False, False, False]
+    assert [r[0] for r in df.select(filters.has_title_word(F.col("text"), False)).collect()] == [True, True, True, True, False, False, False, False]
